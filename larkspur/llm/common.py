@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +54,20 @@ def hash_bits(*parts: Column) -> Column:
 def uniform(*parts: Column) -> Column:
     """A number in (0, 1) that depends on the parts alone."""
     return ((F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 12), 16, 10).cast("double")) + F.lit(0.5)) / F.lit(float(2**48))
+
+
+@functools.cache
+def _ship(application: str, add: Callable[[str], None]) -> None:
+    package = Path(__file__).resolve().parents[1]
+    add(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
+
+
+def with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, for sessions whose Python workers may lack this package: its source is sent to them once."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _ship(spark.sparkContext.applicationId, spark.sparkContext.addPyFile)
+        return query(spark, sf_dir)
+
+    return run

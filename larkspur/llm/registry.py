@@ -1,7 +1,8 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, mixing, quality, sharding
+from . import decontaminate, dedup, htmltext, jaccard, langid, lmscore, mixing, quality, sharding
+from .common import with_package
 
-_MODULES = (quality, sharding, decontaminate, mixing)
-QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+_MODULES = (dedup, htmltext, quality, langid, lmscore, sharding, jaccard, decontaminate, mixing)
+QUERIES = {name: with_package(query) for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}

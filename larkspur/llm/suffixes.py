@@ -48,44 +48,49 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     return at, h[at]
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of ``symbols`` (ints under 512) sorted to at least ``depth``, and the rank of each suffix.
+def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes of ``symbols`` (ints under 256) in order; a 0 ends a piece, and suffixes are compared up to it.
 
-    Larsson-Sadakane: a first sort on seven symbols, then every group that is still unsorted is refined by the
-    ranks a doubled distance ahead; sorted groups are left alone.
+    Larsson-Sadakane: a first sort on eight symbols, then every group that is still unsorted is refined by the ranks a
+    doubled distance ahead, until ``depth``; sorted groups are left alone. Equal suffixes stay in the order of places.
     """
     n = len(symbols)
-    key = np.zeros(n, np.int64)
-    padded = np.zeros(n + 7, np.int64)
-    padded[:n] = symbols
-    for k in range(7):
-        key = (key << 9) | padded[k : k + n]
+    order = np.arange(n)
+    if not n:
+        return order
+    places = np.arange(n)
+    ends = symbols == 0
+    stop = np.minimum.accumulate(np.where(ends, places, n)[::-1])[::-1]  # of each place, the end of its piece
+    key = np.zeros(n, np.uint64)
+    padded = np.append(symbols, np.zeros(8, symbols.dtype)).astype(np.uint64)
+    alive = np.ones(n, bool)
+    for k in range(8):
+        alive &= padded[k : k + n] != 0
+        key = (key << np.uint64(8)) | np.where(alive, padded[k : k + n], np.uint64(0))
     order = np.argsort(key, kind="stable")
     key = key[order]
-    head = np.empty(n, bool)
-    h = 7
-    rank = np.zeros(n + 1, np.int64)  # of no suffix: 0
-    if n:
-        head[0] = True
-        np.not_equal(key[1:], key[:-1], out=head[1:])
-        rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0)) + 1
-    while n and h < depth:
-        alone = head & np.append(head[1:], True)
-        slots = np.flatnonzero(~alone)
+    head = np.ones(n, bool)
+    np.not_equal(key[1:], key[:-1], out=head[1:])
+    rank = np.zeros(n + 1, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(head, places, 0)) + 1
+    rank[:n][ends] = 0
+    h = 8
+    while h < depth:
+        slots = np.flatnonzero(~(head & np.append(head[1:], True)))
         if not len(slots):
             break
         members = order[slots]
-        pair = rank[members] * (n + 1) + rank[np.minimum(members + h, n)]
+        pair = rank[members] * (n + 1) + rank[np.minimum(members + h, stop[members])]
         by = np.argsort(pair, kind="stable")
         pair, members = pair[by], members[by]
         order[slots] = members
-        changed = np.empty(len(slots), bool)
-        changed[0] = True
+        changed = np.ones(len(slots), bool)
         np.not_equal(pair[1:], pair[:-1], out=changed[1:])
         head[slots] = changed
         rank[members] = slots[np.maximum.accumulate(np.where(changed, np.arange(len(slots)), 0))] + 1
+        rank[:n][ends] = 0
         h *= 2
-    return order, rank[:n]
+    return order
 
 
 def kasai(symbols: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
@@ -107,7 +112,8 @@ def kasai(symbols: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.n
         other = before[at]
         x, y = at + have, other + have
         same = (other >= 0) & (have < most) & (x < n) & (y < n)
-        same &= padded[np.minimum(x, n)] == padded[np.minimum(y, n)]
+        ahead = padded[np.minimum(x, n)]
+        same &= (ahead != 0) & (ahead == padded[np.minimum(y, n)])
         have = have + same
         done = ~same
         out[at[done]] = have[done]
