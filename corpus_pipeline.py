@@ -1,2 +1,83 @@
-STAGES=[]; ORACLE_SQL=None
-def run(spark,sf_dir): raise NotImplementedError
+"""From raw documents to shards: quality rules, near duplicates, decontamination, mixing, sharding."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.llm.common import id_text, stored, with_package
+from larkspur.llm.decontaminate import decontaminate
+from larkspur.llm.jaccard import near_duplicates
+from larkspur.llm.mixing import mix_sources
+from larkspur.llm.quality import quality_rules
+from larkspur.llm.sharding import shard_documents
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with the key that the operators give them."""
+    return docs.withColumn("_key", F.xxhash64(id_text(F.col("doc_id")), F.coalesce("text", F.lit(""))))
+
+
+def _once(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Documents by _key, rows that are repeated (by key, in ``keys``) once."""
+    again = keys.groupBy("key").count().filter("count > 1")
+    return docs if again.isEmpty() else docs.dropDuplicates(["_key"])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or a learned rule rejects go."""
+    judged = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=F.struct("*"))
+    return judged.filter("kept").select("row.*")
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays: the one with the least id."""
+    classes = stored(near_duplicates(docs).select("key", "keeper"), "pipeline-classes")
+    losers = stored(classes.filter(~F.col("keeper")).select(F.col("key").alias("_key")).distinct(), "pipeline-losers")
+    return _once(_keyed(docs).join(losers, "_key", "left_anti"), classes.filter("keeper")).drop("_key")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item occurs go."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = stored(found.filter("contaminated").select(F.col("key").alias("_key")).distinct(), "pipeline-leaks")
+    return _keyed(docs).join(leaks, "_key", "left_anti").drop("_key")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; the one that a source's budget cuts counts as a whole."""
+    taken = mix_sources(docs).filter("taken > 0").select("key", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    taken = stored(taken, "pipeline-taken")
+    times = taken.groupBy(F.col("key").alias("_key")).agg(F.sum("times").cast("int").alias("_times"))
+    copies = _once(_keyed(docs), taken).join(times, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return copies.drop("_key", "_times", "_copy").select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard of each row of the mix."""
+    return shard_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicate),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+
+#: Rules are learned and similarities verified on sets, which SQL can't express.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents; each one's result is a stored table that the next one reads."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, f"pipeline-{k}")
+    return docs
+
+
+run = with_package(run)

@@ -84,7 +84,7 @@ def exact_matches(docs: DataFrame, table: DataFrame, places: DataFrame, doc_id:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, key.
 
     A document word inside any whole occurrence of an item window is hit. Texts that are null or without words have
     none and match nothing; a null item id counts as ''; items with equal ids count once. Repeated rows are judged
@@ -99,7 +99,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(id_text(F.col(doc_id)), F.coalesce(F.col(text), F.lit(""))).alias("key"), F.size(folded_words(F.col(text))).cast("long").alias("n_words"))
     joined = sized.join(stored(hits, "leak-hits"), "key", "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return joined.select("doc_id", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), F.col("hit").isNotNull().alias("contaminated"))
+    return joined.select("doc_id", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), F.col("hit").isNotNull().alias("contaminated"), "key")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -112,7 +112,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, doc_id:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("key")
 
 
 #: {docs} is the table to check.

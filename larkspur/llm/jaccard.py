@@ -178,11 +178,11 @@ def _compare(table: pa.Table) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, key, class_id, n_links, class_docs of each document.
+    """doc_id, key, class_id, n_links, class_docs, keeper of each document.
 
     Two documents are linked if the Jaccard similarity of their sets of five-word shingles (words of anything but ASCII
     white space) is 0.8 or more. class_id is the least id among the documents that links connect; n_links counts the
-    other documents linked directly. Documents with one set count as copies and are compared once. MinHash bands form
+    other documents linked directly. keeper marks the document with the least id of each class. Documents with one set count as copies and are compared once. MinHash bands form
     candidate groups; each group's pairs are compared value by value with Bayesian pruning, and the rest is verified on
     the whole sets. A large group is compared in pairs of pieces, each in a task of its own; only counts and the pieces'
     own components leave a task.
@@ -213,10 +213,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     known = sets.select("name", "copies").join(links, "name", "left").join(classes.withColumnRenamed("node", "name"), "name", "left").select("name", F.coalesce("label", "name").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known = stored(known, "jaccard-classes")
     placed = sketched.drop("bands").join(known, "name", "left")
-    named = stored(placed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_docs")), "jaccard-names")
+    named = stored(placed.filter("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"), F.count(F.lit(1)).alias("class_docs")), "jaccard-names")
     return placed.join(named, "class", "left").select(
-        "doc_id", "key", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_docs", F.lit(1)).cast("long").alias("class_docs"),
+        "doc_id", "key", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_docs", F.lit(1)).cast("long").alias("class_docs"), (F.col("class").isNull() | (F.col("key") == F.col("best.key"))).alias("keeper"),
     )
 
 

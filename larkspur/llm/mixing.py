@@ -50,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
 
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_EPOCHS, rows_to_sort: int = ROWS_TO_SORT) -> DataFrame:
-    """How many words the mix takes of each document: doc_id, source, size, source_size, target, taken, quality.
+    """How many words the mix takes of each document: doc_id, source, size, source_size, target, taken, quality, key.
 
     A source's target is met by complete epochs over all its documents first. What is left is taken in order of
     Efraimidis-Spirakis keys (-ln(u) / quality, u from a hash of id and text, so reruns agree) until the budget ends;
@@ -64,9 +64,10 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     slim = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(plain_words(body)).cast("long").alias("size"), q.cast("double").alias("quality"),
         uniform(id_text(F.col(doc_id)), F.coalesce(body, F.lit(""))).alias("u"),
+        F.xxhash64(id_text(F.col(doc_id)), F.coalesce(body, F.lit(""))).alias("of_text"),
     )
     slim = slim.withColumn("quality", F.when(F.col("quality") > 0, F.col("quality")).otherwise(F.lit(1e-6)))
-    slim = stored(slim.select("doc_id", "source", "size", "quality", (-F.log("u") / F.col("quality")).alias("key")), "mix-keys")
+    slim = stored(slim.select("doc_id", "source", "size", "quality", "of_text", (-F.log("u") / F.col("quality")).alias("key")), "mix-keys")
     targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, cap)
     targets = stored(
         targets.select(
@@ -85,7 +86,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     ranked = placed.withColumn("before_doc", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = ranked.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in_part")))
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("before_part") - F.col("before_doc")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + rest).cast("long").alias("taken"), "quality")
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + rest).cast("long").alias("taken"), "quality", F.col("of_text").alias("key"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,16 +24,17 @@ def _without(text: Column, characters: str) -> Column:
     return F.length(F.translate(text, characters, ""))
 
 
-def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: Column | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_bangs, n_lines, n_dup_lines, n_repeat_words of each document.
 
     Words hold anything but ASCII white space; a null text has none. A line counts if it has a word. Windows of three
-    words are compared by a 64-bit hash within their document.
+    words are compared by a 64-bit hash within their document. ``carry`` comes along as the column row.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    d = d.select("doc_id", "t", plain_words(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: F.translate(x, BLANKS, "") != "").alias("lines"))
+    row = F.lit(None).cast("boolean") if carry is None else carry
+    d = docs.select(row.alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    d = d.select("row", "doc_id", "t", plain_words(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: F.translate(x, BLANKS, "") != "").alias("lines"))
     d = d.select(
-        "doc_id", "w", F.size("w").cast("long").alias("n_words"), _without(F.col("t"), BLANKS).cast("long").alias("word_chars"),
+        "row", "doc_id", "w", F.size("w").cast("long").alias("n_words"), _without(F.col("t"), BLANKS).cast("long").alias("word_chars"),
         (F.length("t") - _without(F.col("t"), SYMBOLS)).cast("long").alias("n_symbols"), (F.length("t") - _without(F.col("t"), "!")).cast("long").alias("n_bangs"),
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
@@ -45,7 +46,8 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     twin = F.filter("s", lambda x, j: (F.get("s", j - 1)["g"] == x["g"]) | (F.get("s", j + 1)["g"] == x["g"]))
     d = d.withColumn("at", F.sort_array(F.transform(twin, lambda x: x["i"]))).drop("s")
     gained = F.transform("at", lambda x, j: F.least(F.lit(3), F.get("at", j + 1) - x))
-    return d.withColumn("n_repeat_words", F.aggregate(gained, F.lit(0), lambda a, x: a + x).cast("long")).drop("at")
+    d = d.withColumn("n_repeat_words", F.aggregate(gained, F.lit(0), lambda a, x: a + x).cast("long")).drop("at")
+    return d.drop("row") if carry is None else d
 
 
 def features() -> dict[str, Column]:
@@ -155,16 +157,16 @@ def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     return stats.withColumn("base_failed", failed).withColumn("rule", verdict).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: Column | None = None) -> DataFrame:
     """Statistics and verdict of each document; the rules are learned from ``labels`` (doc_id, quality: 0 is bad).
 
     Labels without a quality, with a null id, or of other documents are not used; a document with several labels is bad
     if any says so. A null or empty text has no words and fails the base rule. Repeated rows are judged each; other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. ``carry`` comes along as the column row.
     """
-    stats = stored(statistics(docs, doc_id, text), "quality-stats")
+    stats = stored(statistics(docs, doc_id, text, carry), "quality-stats")
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
-    return judge(stats, learn_rules(stats.join(marks, "doc_id")))
+    return judge(stats, learn_rules(stats.drop("row").join(marks, "doc_id")))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
