@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     member = groups.join(sizes, "label").join(sets.drop("bands"), groups["node"] == sets["name"]).select("label", "name", "key", "copies", pieces.alias("pieces"), F.pmod(F.xxhash64("name"), pieces).cast("int").alias("piece"))
     member = stored(member, "jaccard-members")
     tasks = max(1, math.ceil(member.count() / TASK))
-    texts = slim.select("key", "t").join(member, "key")
+    texts = slim.select("key", "t").join(member.hint("merge"), "key")  # texts are dealt by key at every size
     others = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     dealt = texts.select("label", "name", "copies", "t", "pieces", "piece", others.alias("other")).select("label", "name", "copies", "t", "pieces", "piece", F.least("piece", "other").alias("one"), F.greatest("piece", "other").alias("two"))
     task = F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("label"), F.lit(tasks))).otherwise(F.xxhash64("label", "one", "two"))
