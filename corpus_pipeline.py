@@ -34,14 +34,14 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One document of each class of near duplicates stays: the one with the least id."""
     classes = stored(near_duplicates(docs).select("key", "keeper"), "pipeline-classes")
     losers = stored(classes.filter(~F.col("keeper")).select(F.col("key").alias("_key")).distinct(), "pipeline-losers")
-    return _once(_keyed(docs).join(losers, "_key", "left_anti"), classes.filter("keeper")).drop("_key")
+    return _once(_keyed(docs).join(losers.hint("merge"), "_key", "left_anti"), classes.filter("keeper")).drop("_key")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     leaks = stored(found.filter("contaminated").select(F.col("key").alias("_key")).distinct(), "pipeline-leaks")
-    return _keyed(docs).join(leaks, "_key", "left_anti").drop("_key")
+    return _keyed(docs).join(leaks.hint("merge"), "_key", "left_anti").drop("_key")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix_sources(docs).filter("taken > 0").select("key", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
     taken = stored(taken, "pipeline-taken")
     times = taken.groupBy(F.col("key").alias("_key")).agg(F.sum("times").cast("int").alias("_times"))
-    copies = _once(_keyed(docs), taken).join(times, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    copies = _once(_keyed(docs), taken).join(times.hint("merge"), "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return copies.drop("_key", "_times", "_copy").select(*docs.columns)
 
 
