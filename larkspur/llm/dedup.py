@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .bytesarr import BASE, BASE_INVERSE, BYTE_CODE, _powers, column_bytes, mix, row_chunks
 from .common import id_text, stored
-from .suffixes import anchors, kasai, suffix_array
+from .suffixes import GRAM, anchors, kasai, suffix_array
 
 #: Bytes of a passage that counts as repeated.
 LENGTH = 200
@@ -42,49 +42,53 @@ class PieceHash:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, th, pos, place) of each anchor; place is a hash of th and pos."""
     for batch in batches:
         buf, offsets = column_bytes(batch.column("t"))
         th = batch.column("th").to_numpy()
         for first, last in row_chunks(offsets):
             a, b = offsets[first], offsets[last]
-            at, h = anchors(buf[a:b], offsets[first : last + 1] - a, LENGTH)
+            at, h, _ = anchors(buf[a:b], offsets[first : last + 1] - a, LENGTH)
             row = np.searchsorted(offsets, at + a, side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(th[row]), pa.array((at + a - offsets[row]).astype(np.int32))], ["h", "th", "pos"])
+            pos = at + a - offsets[row]
+            place = mix(th[row].view(np.uint64) + pos.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(th[row]), pa.array(pos.astype(np.int32)), pa.array(place.view(np.int64))], ["h", "th", "pos", "place"])
 
 
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each piece of starts around the given anchors: the hash of what they have in common and of the whole."""
+    """A row for each piece of starts whose anchor is given: the hash of what they have in common and of the whole."""
     for batch in batches:
         buf, offsets = column_bytes(batch.column("t"))
         th = batch.column("th").to_numpy()
         lists = batch.column("at")
         for first, last in row_chunks(offsets):
             a, b = offsets[first], offsets[last]
+            places, hashes, lows = anchors(buf[a:b], offsets[first : last + 1] - a, LENGTH)
             part = lists[first:last]
-            at = part.flatten().to_numpy().astype(np.int64)
             row = np.repeat(np.arange(first, last), pa.compute.list_value_length(part).to_numpy())
+            at = part.flatten().to_numpy().astype(np.int64) + offsets[row] - a
+            mine = hashes[np.searchsorted(places, at)]
             begin, stop = offsets[row] - a, offsets[row + 1] - a
-            low, high = [], []
-            # starts lie up to LENGTH - GRAM before the anchor, in pieces at fixed distances from it
-            for k in range(-(-(LENGTH - 64 + 1) // PIECE)):
-                low.append(at + begin - (k + 1) * PIECE + 1)
-                high.append(low[-1] + PIECE)
-            reps = len(low)
-            low, high = np.concatenate(low), np.concatenate(high)
-            begin, stop, row = np.tile(begin, reps), np.tile(stop, reps), np.tile(row, reps)
             hash_of = PieceHash(buf[a:b])
-            core = high - 1
-            inside = (core >= begin) & (core < stop)
-            first_start, end = np.maximum(low, begin), np.minimum(high + LENGTH - 1, stop)
-            keep = inside & (end - first_start >= LENGTH) & (low + LENGTH <= stop)
-            core, first_start, end, row, begin = core[keep], first_start[keep], end[keep], row[keep], begin[keep]
-            core_end = np.minimum(core - PIECE + 1 + LENGTH, end)
+            found = []
+            # starts lie up to LENGTH - GRAM before the anchor, in pieces at fixed distances from it
+            for k in range(-(-(LENGTH - GRAM + 1) // PIECE)):
+                low = at - (k + 1) * PIECE + 1
+                starts = low[:, None] + np.arange(PIECE)
+                within = (starts >= begin[:, None]) & (starts + LENGTH <= stop[:, None])
+                used = (within & (lows[np.clip(starts, 0, len(lows) - 1)] == mine[:, None])).any(1)
+                lo, hi = np.maximum(low, begin)[used], np.minimum(low + PIECE + LENGTH - 1, stop)[used]
+                found.append(np.stack([row[used], lo, hi, low[used]]))
+            row, lo, hi, low = np.unique(np.concatenate(found, 1), axis=1)
             yield pa.RecordBatch.from_arrays([
-                pa.array(hash_of(core, core_end).view(np.int64)), pa.array(hash_of(first_start, end).view(np.int64)), pa.array(th[row]),
-                pa.array((first_start - begin).astype(np.int32)), pa.array((end - first_start).astype(np.int32)),
+                pa.array(hash_of(low + PIECE - 1, low + LENGTH).view(np.int64)), pa.array(hash_of(lo, hi).view(np.int64)), pa.array(th[row]),
+                pa.array((lo + a - offsets[row]).astype(np.int32)), pa.array((hi - lo).astype(np.int32)),
             ], ["core", "piece", "th", "start", "n"])
 
 
+BYTES = "core long, piece long, th long, start int, kinds long, copies long, data binary"
+
+
 def _piece_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offsets = column_bytes(batch.column("t"))
@@ -92,10 +96,10 @@ def _piece_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = batch.column("refs")
         row = np.repeat(np.arange(len(refs)), pa.compute.list_value_length(refs).fill_null(0).to_numpy())
         flat = refs.flatten()
-        core, piece, start, n = (flat.field(c).to_numpy() for c in ("core", "piece", "start", "n"))
+        core, piece, start, n, kinds, copies = (flat.field(c).to_numpy() for c in ("core", "piece", "start", "n", "kinds", "copies"))
         at = offsets[row] + start
         data = [whole[x : x + m] for x, m in zip(at.tolist(), n.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(piece), pa.array(data, pa.binary())], ["core", "piece", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(piece), pa.array(batch.column("th").to_numpy()[row]), pa.array(start), pa.array(kinds), pa.array(copies), pa.array(data, pa.binary())], ["core", "piece", "th", "start", "kinds", "copies", "data"])
 
 
 def passage_classes(data: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,74 +194,80 @@ def _merge_runs(table: pa.Table) -> pa.Table:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offsets = column_bytes(batch.column("t"))
-        spans, mult = batch.column("spans"), batch.column("mult").to_numpy()
-        size = np.diff(offsets)
-        removed, runs, kept = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), []
-        for k in range(len(size)):
+        spans = batch.column("spans")
+        removed, runs, kept = [], [], []
+        for k in range(len(spans)):
             mine = buf[offsets[k] : offsets[k + 1]]
-            found = spans[k]
-            if mult[k] > 1 and size[k] >= LENGTH:
-                cover = np.ones(size[k], bool)
-            elif found.is_valid and len(found.values):
-                lo, hi = (found.values.field(c).to_numpy() for c in ("lo", "hi"))
-                step = np.zeros(size[k] + 1, np.int32)
-                np.add.at(step, lo, 1)
-                np.add.at(step, hi, -1)
-                cover = np.cumsum(step[:-1]) > 0
-            else:
-                kept.append(hashlib.sha256(mine.tobytes()).hexdigest())
-                continue
-            removed[k] = cover.sum()
-            runs[k] = cover[0] + (cover[1:] & ~cover[:-1]).sum()
+            lo, hi = (spans[k].values.field(c).to_numpy() for c in ("lo", "hi"))
+            step = np.zeros(len(mine) + 1, np.int32)
+            np.add.at(step, lo, 1)
+            np.add.at(step, hi, -1)
+            cover = np.cumsum(step[:-1]) > 0
+            removed.append(int(cover.sum()))
+            runs.append(int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum()))
             kept.append(hashlib.sha256(mine[~cover].tobytes()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(size), pa.array(removed), pa.array(runs), pa.array(kept, pa.string())], ["th", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())], ["th", "removed", "runs", "kept"])
+
+
+def candidate_texts(texts: DataFrame) -> DataFrame:
+    """(th, t, at): the texts, each once, with anchors that stand at two places or more, and where these are.
+
+    Content picks an anchor in every passage, so equal passages have equal anchors, and a passage whose anchor stands at
+    one place alone is not repeated. Rows of one text count as one.
+    """
+    found = texts.mapInArrow(_anchor_rows, "h long, th long, pos int, place long")
+    twice = found.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a <> b").select("h")
+    near = found.drop("place").join(twice.hint("merge"), "h").groupBy("th").agg(F.collect_set("pos").alias("at"))
+    return texts.groupBy("th").agg(F.first("t").alias("t")).join(near.hint("merge"), "th")
 
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(th, lo, hi): stretches of bytes, by rows of (th, t), that are covered by repeated passages; they may overlap.
+def repeated_spans(candidates: DataFrame) -> DataFrame:
+    """(th, lo, hi): stretches of bytes, by rows of candidate_texts(), that repeated passages cover; they may overlap.
 
-    1. Anchors: content picks one in every passage, so equal passages have equal anchors; those that occur once end here.
-    2. Around the others, starts are put into pieces at fixed distances from the anchor. A passage can only repeat if its
-       piece's core does. Equal pieces repeat as a whole.
-    3. Different pieces with one core are sorted into suffix arrays, shard by shard. A core with very many different
-       pieces goes to several shards, whose sorted runs are merged by binary search.
+    Around the anchors, starts are put into pieces at fixed distances. A passage can only repeat if its piece's core
+    does, and equal pieces repeat as a whole. Different pieces with one core are sorted into suffix arrays, shard by
+    shard. A core with very many different pieces goes to several shards, whose sorted runs are merged by binary search.
     """
-    found = texts.mapInArrow(_anchor_rows, "h long, th long, pos int")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    near = found.join(twice, "h").groupBy("th").agg(F.collect_list("pos").alias("at"))
-    refs = stored(texts.join(near, "th").select("th", "t", "at").mapInArrow(_piece_rows, REF).dropDuplicates(["th", "start", "n", "core"]), "dedup-pieces")
-    pieces = refs.groupBy("core", "piece").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("th", "start", "n")).alias("at"))
-    pieces = stored(pieces, "dedup-distinct")
+    refs = stored(candidates.mapInArrow(_piece_rows, REF), "dedup-pieces")
+    pieces = stored(refs.groupBy("core", "piece").agg(F.count(F.lit(1)).alias("copies"), F.min("th").alias("th")), "dedup-distinct")
     shared = pieces.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("copies") == 1).alias("single")).filter("kinds > 1 and single > 0")
-    # the passages of the pieces that several places have: done
-    whole = pieces.filter("copies > 1").select("core", "piece", F.lit(0).alias("lo"), (F.col("at.n") - LENGTH).alias("hi"))
-    unsure = stored(pieces.join(shared, "core").select("core", "piece", "kinds", "copies", "at.*"), "dedup-unsure")
-    wanted = unsure.groupBy("th").agg(F.collect_list(F.struct("core", "piece", "start", "n")).alias("refs"))
-    data = texts.join(wanted, "th").select("th", "t", "refs").mapInArrow(_piece_bytes, "core long, piece long, data binary")
-    data = stored(data.join(unsure.select("core", "piece", "kinds", "copies", "th", "start"), ["core", "piece"]), "dedup-bytes")
+    unsure = pieces.join(shared.hint("merge"), "core").select("core", "piece", "kinds", "copies", "th")
+    # one place of each: the first one in its text
+    at = refs.join(unsure.hint("merge"), ["core", "piece", "th"]).groupBy("core", "piece", "th", "kinds", "copies").agg(F.min("start").alias("start"), F.max("n").alias("n"))
+    unsure = stored(at, "dedup-unsure")
+    wanted = unsure.groupBy("th").agg(F.collect_list(F.struct("core", "piece", "start", "n", "kinds", "copies")).alias("refs"))
+    data = stored(candidates.select("th", "t").join(wanted.hint("merge"), "th").select("th", "t", "refs").mapInArrow(_piece_bytes, BYTES), "dedup-bytes")
     shards = max(1, math.ceil(unsure.count() / SHARD_PIECES))
     few = data.filter(F.col("kinds") <= SPREAD).withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(shards))).groupBy("shard").applyInArrow(_shard, "core long, piece long, lo int, hi int")
     parts = F.pmod(F.xxhash64("piece"), F.ceil(F.col("kinds") / SPREAD))
     many = data.filter(F.col("kinds") > SPREAD).withColumn("run", F.xxhash64("core", parts)).groupBy("run").applyInArrow(_sorted_run, RUN)
     merged = many.groupBy(F.pmod(F.col("passage"), F.lit(shards)).cast("int")).applyInArrow(_merge_runs, "core long, piece long, lo int, hi int")
-    done = stored(whole.unionByName(few).unionByName(merged), "dedup-ranges")
-    spans = refs.join(done, ["core", "piece"]).select("th", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + LENGTH).alias("hi"))
-    return spans.distinct()
+    part = stored(few.unionByName(merged), "dedup-ranges").select("core", "piece", "lo", "hi")
+    whole = pieces.filter("copies > 1").select("core", "piece", F.lit(0).alias("lo"), F.lit(-1).alias("hi"))
+    last = F.when(F.col("hi") < 0, F.col("n")).otherwise(F.col("hi") + LENGTH)
+    return refs.join(whole.unionByName(part).hint("merge"), ["core", "piece"]).select("th", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + last).alias("hi"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document.
 
     Removes each byte covered by a LENGTH-byte string that starts anywhere else too, in the same document or another.
-    Texts that occur several times are looked at once. A null text counts as empty; a text under LENGTH bytes keeps all.
-    Repeated rows are copies, and lose everything if they are long enough. Other columns are ignored; an empty table
-    gives an empty result.
+    Texts that occur several times are looked at once; such documents lose everything if they are long enough. A null
+    text counts as empty; a text under LENGTH bytes keeps all. Repeated rows are copies. Other columns are ignored; an
+    empty table gives an empty result.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t", F.octet_length("t")))
-    texts = slim.groupBy("th").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("mult"))
-    spans = repeated_spans(texts.filter(F.octet_length("t") >= LENGTH)).groupBy("th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    cut = texts.join(spans, "th", "left").select("th", "t", "mult", "spans").mapInArrow(_cut, "th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return slim.select("doc_id", "th").join(stored(cut, "dedup-cut"), "th").drop("th")
+    candidates = stored(candidate_texts(slim.filter(F.octet_length("t") >= LENGTH).select("th", "t")), "dedup-texts")
+    spans = repeated_spans(candidates).groupBy("th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    cut = stored(candidates.select("th", "t").join(spans.hint("merge"), "th").select("th", "t", "spans").mapInArrow(_cut, "th long, removed long, runs long, kept string"), "dedup-cut")
+    whole = slim.select("doc_id", "th", F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha"))
+    copies = slim.groupBy("th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    joined = whole.join(copies, "th", "left").join(cut, "th", "left")
+    gone = F.col("n").isNotNull() & (F.col("n_bytes") >= LENGTH)
+    return joined.select(
+        "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(gone, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"), F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+    )
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

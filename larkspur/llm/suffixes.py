@@ -20,15 +20,15 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - (width - done)], out[width - done :]) if width > done else out
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of content-chosen anchors.
+def anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of content-chosen anchors, and for every start the hash of the anchor of the string there.
 
     Every string of ``length`` bytes inside a row holds an anchor, and equal strings hold equal anchors at equal
     places: an anchor is a GRAM-byte hash that is the least of all in some such string.
     """
     n, width = len(buf), length - GRAM + 1
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h, base, k = BYTE_CODE[buf], BASE, 1
     while k < GRAM:
         h = h[:-k] * base + h[k:]
@@ -45,7 +45,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     pad = np.zeros(len(h) + width - 1, np.uint64)
     pad[width - 1 : width - 1 + len(low)] = low
     at = np.flatnonzero((_sliding(pad, width, np.maximum) == h) & (h != _TOP))
-    return at, h[at]
+    return at, h[at], low
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
