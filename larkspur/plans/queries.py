@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, text, weekly
+from ..functions import geo, parsing, text, weekly
 from ..operators import apportion, search, stats, sync
 from ..sources.tables import ROLES, Catalogue
 from ..streaming import events as ingest
@@ -364,3 +364,37 @@ def best_venue(c):
 @query("SELECT title, day, count(*) AS n FROM deal_ JOIN schedule_ USING (deal_id) WHERE status = 'approved' GROUP BY ALL HAVING count(*) > 1")
 def titles_by_day(c):
     return c.schedule.join(search.approved(c.deal).select("deal_id", "title"), "deal_id").groupBy("title", "day").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+@query("SELECT deal_id, s AS start, CASE WHEN e % 1440 < s AND e % 1440 < 600 THEN e % 1440 + 1440 ELSE e % 1440 END AS \"end\", count(*) AS n FROM schedule_ GROUP BY ALL")
+def parse_times(c):
+    """Hours written as people do, read back."""
+    written = F.concat_ws(" - ", weekly.clock(F.col("start")), weekly.clock(F.col("end")))
+    return c.schedule.select("deal_id", parsing.hours(written).alias("h")).groupBy("deal_id", F.col("h.start").alias("start"), F.col("h.end").alias("end")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_DAY_SQL = "array_to_string(list_filter(['monday','tuesday','wednesday','thursday','friday','saturday','sunday'], lambda d: contains(t, d) OR regexp_matches(t, '\\b(?:' || CASE d WHEN 'tuesday' THEN 'tue|tues' WHEN 'thursday' THEN 'thu|thur|thurs' WHEN 'friday' THEN 'fri|friyay|friyays' ELSE d[1:3] END || ')\\b') OR regexp_matches(t, CASE WHEN d IN ('saturday', 'sunday') THEN '\\bweekends?\\b' ELSE '\\bweekdays?\\b' END)), ',')"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN contains(t, 'every day') OR replace(t, ' ', '') = 'everyday' THEN 'everyDay' ELSE {_DAY_SQL} END AS days FROM (SELECT conv_id, turn, lower(trim(coalesce(text, ''))) AS t FROM conversations)")
+def parse_days(c):
+    return c.table("conversations").select("conv_id", "turn", F.array_join(parsing.days(F.col("text")), ",").alias("days"))
+
+
+@query("SELECT page_id, link, min(k) AS place FROM (SELECT page_id, unnest(l) AS link, unnest(range(1, len(l) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"''#]+)', 1) AS l FROM pages)) GROUP BY ALL")
+def page_links(c):
+    every = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(parsing.HREF), F.lit(1))
+    return c.table("pages").select("page_id", F.posexplode(every).alias("k", "link")).groupBy("page_id", "link").agg((F.min("k") + 1).cast("long").alias("place"))
+
+
+_WORDS = "(SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> ''), ' ') || ' ' AS w FROM documents)"
+
+
+@query(f"SELECT doc_id FROM {_WORDS} WHERE contains(w, ' license ') OR contains(w, ' email ')")
+def text_search_term(c):
+    return c.table("documents").filter(parsing.matches_query(parsing.search_words(F.col("text")), "license, email")).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM {_WORDS} WHERE contains(w, ' under the mit license ')")
+def text_search_phrase(c):
+    return c.table("documents").filter(parsing.matches_query(parsing.search_words(F.col("text")), "under the MIT License")).select("doc_id")
