@@ -370,7 +370,10 @@ def titles_by_day(c):
 def parse_times(c):
     """Hours written as people do, read back."""
     written = F.concat_ws(" - ", weekly.clock(F.col("start")), weekly.clock(F.col("end")))
-    return c.schedule.select("deal_id", parsing.hours(written).alias("h")).groupBy("deal_id", F.col("h.start").alias("start"), F.col("h.end").alias("end")).agg(F.count(F.lit(1)).alias("n"))
+    times = c.schedule.groupBy("deal_id", written.alias("written")).agg(F.count(F.lit(1)).alias("n"))
+    # each way of writing is parsed once
+    parsed = times.select("written").distinct().select("written", parsing.hours(F.col("written")).alias("h"))
+    return times.join(parsed, "written").groupBy("deal_id", "h").agg(F.sum("n").alias("n")).select("deal_id", "h.start", "h.end", "n")
 
 
 _DAY_SQL = "array_to_string(list_filter(['monday','tuesday','wednesday','thursday','friday','saturday','sunday'], lambda d: contains(t, d) OR regexp_matches(t, '\\b(?:' || CASE d WHEN 'tuesday' THEN 'tue|tues' WHEN 'thursday' THEN 'thu|thur|thurs' WHEN 'friday' THEN 'fri|friyay|friyays' ELSE d[1:3] END || ')\\b') OR regexp_matches(t, CASE WHEN d IN ('saturday', 'sunday') THEN '\\bweekends?\\b' ELSE '\\bweekdays?\\b' END)), ',')"
