@@ -49,35 +49,49 @@ def template_words(templates: tuple[tuple[str, str], ...]) -> dict[int, dict[str
 
 
 def license_lines(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, line, license, score, words) of the lines of (key, t) whose best template reaches the threshold.
+    """(key, line, license, score, words, n_words) of the lines of (key, t) whose best template reaches the threshold.
 
     Weights are tf x idf; idf is ln((1 + lines) / (1 + lines with the word)) + 1 over all lines of all files, and the
     templates' mean for words that no template has. Ties go to the first template. Lines are compared with the
-    templates, a fixed list of few, through shared words only.
+    templates, a fixed list of few, through shared words only. A line's cosine is at most the share of its length that
+    words of the templates have, so lines for which that falls short of the threshold go before any shuffle. n_words
+    are the words of the whole file.
     """
     spark = files.sparkSession
     counts = template_words(templates)
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for c in counts.values() for w in c})])
+    words = sorted({w for c in counts.values() for w in c})
     lines = files.select("key", F.transform(F.split("t", "\n"), line_words).alias("lines"))
-    seen = lines.select(F.explode(F.filter("lines", lambda x: F.size(x) > 0)).alias("x")).select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("x", vocabulary))).alias("word"))
+    seen = lines.select(F.explode(F.filter("lines", lambda x: F.size(x) > 0)).alias("x"))
+    seen = seen.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(F.filter("x", lambda w: w.isin(words))))).alias("word"))
     frequency = {r["word"]: r["n"] for r in seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as the templates have words
     total = frequency.pop("", 0)
-    words = sorted({w for c in counts.values() for w in c})
+    idf_of = {w: math.log((1 + total) / (1 + frequency.get(w, 0))) + 1 for w in words}
+    rest = sum(idf_of.values()) / max(1, len(words))
     rows = lambda structs: spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
-    idf = rows([F.struct(F.lit(w).alias("word"), F.lit(math.log((1 + total) / (1 + frequency.get(w, 0))) + 1).alias("idf")) for w in words])
-    other = F.lit(sum(math.log((1 + total) / (1 + frequency.get(w, 0))) + 1 for w in words) / max(1, len(words)))
+    idf = rows([F.struct(F.lit(w).alias("word"), F.lit(v).alias("idf")) for w, v in idf_of.items()])
+    other = F.lit(rest)
     shape = rows([F.struct(F.lit(k).alias("template"), F.lit(templates[k][0]).alias("license"), F.lit(w).alias("word"), F.lit(n).alias("tf")) for k, c in counts.items() for w, n in c.items()]).join(F.broadcast(idf), "word")
     norms = shape.groupBy("template").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
     shape = stored(shape.join(norms, "template").select("word", "template", "license", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight")).coalesce(1), "license-templates")
-    close = lines.select("key", F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("line"), x.alias("w"))), lambda s: F.size(F.array_intersect(s["w"], vocabulary)) >= SHARED_WORDS).alias("c"))
-    close = stored(close.select("key", F.explode("c").alias("c")).select("key", "c.line", "c.w").dropDuplicates(["key", "line"]), "license-lines")
-    tf = close.select("key", "line", F.size("w").alias("words"), F.explode("w").alias("word")).groupBy("key", "line", "words", "word").agg(F.count(F.lit(1)).alias("tf"))
+    weights = F.map_from_arrays(F.array(*map(F.lit, idf_of)), F.array(*map(F.lit, idf_of.values())))
+
+    def may_match(s: Column) -> Column:
+        known, outside = s["known"], F.size(s["w"]) - F.size(s["known"])
+        inside = F.aggregate(F.array_distinct(known), F.lit(0.0), lambda sum_, w: sum_ + (F.size(F.filter(known, lambda x: x == w)) * F.element_at(weights, w)) ** 2)
+        least = threshold**2 * (1 - 1e-6)
+        return (F.size(F.array_distinct(known)) >= SHARED_WORDS) & (inside * (1 - least) >= least * outside * rest**2)
+
+    parted = F.transform("lines", lambda x, i: F.struct(i.alias("line"), x.alias("w"), F.filter(x, lambda w: w.isin(words)).alias("known")))
+    n_words = F.aggregate("lines", F.lit(0), lambda n, x: n + F.size(x))
+    close = lines.select("key", n_words.alias("n_words"), F.filter(parted, may_match).alias("c")).filter(F.size("c") > 0)
+    close = stored(close.select("key", "n_words", F.explode("c").alias("c")).select("key", "n_words", "c.line", "c.w").dropDuplicates(["key", "line"]), "license-lines")
+    tf = close.select("key", "n_words", "line", F.size("w").alias("words"), F.explode("w").alias("word")).groupBy("key", "n_words", "line", "words", "word").agg(F.count(F.lit(1)).alias("tf"))
     weighted = tf.join(F.broadcast(idf), "word", "left").withColumn("v", F.col("tf") * F.coalesce(F.col("idf"), other))
-    norm = weighted.groupBy("key", "line", "words").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("norm"))
+    norm = weighted.groupBy("key", "n_words", "line", "words").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("norm"))
     dots = weighted.join(F.broadcast(shape), "word").groupBy("key", "line", "template", "license").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
-    scored = dots.join(norm, ["key", "line"]).select("key", "line", "words", "license", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
-    best = scored.groupBy("key", "line", "words").agg(F.max(F.struct("score", -F.col("template"), "license")).alias("b"))
-    return best.select("key", "line", "words", F.col("b.license").alias("license"), F.col("b.score").alias("score"))
+    scored = dots.join(norm, ["key", "line"]).select("key", "n_words", "line", "words", "license", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
+    best = scored.groupBy("key", "n_words", "line", "words").agg(F.max(F.struct("score", -F.col("template"), "license")).alias("b"))
+    return best.select("key", "n_words", "line", "words", F.col("b.license").alias("license"), F.col("b.score").alias("score"))
 
 
 def scan_licenses(files: DataFrame, doc_id: str = "doc_id", text: str = "text", path: Column | str = "path", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -94,8 +108,8 @@ def scan_licenses(files: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = files.select(F.col(doc_id).alias("doc_id"), where.alias("path"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     named = named.withColumn("key", F.xxhash64(id_text(F.col("doc_id")), "path", "t"))
     lines = license_lines(named.select("key", "t"), templates, threshold)
-    found = stored(lines.groupBy("key").agg(F.max(F.struct("score", -F.col("line"), "license")).alias("b"), F.count(F.lit(1)).alias("n_lines"), F.sum("words").alias("license_words")).select("key", "b.license", "b.score", "n_lines", "license_words"), "license-found")
-    slim = named.select("doc_id", "path", "key", F.size(line_words(F.col("t"))).alias("n_words"))
+    found = stored(lines.groupBy("key").agg(F.max(F.struct("score", -F.col("line"), "license")).alias("b"), F.count(F.lit(1)).alias("n_lines"), F.sum("words").alias("license_words"), F.first("n_words").alias("n_words")).select("key", "b.license", "b.score", "n_lines", "license_words", "n_words"), "license-found")
+    slim = named.select("doc_id", "path", "key")
     own = slim.join(found, "key", "left").withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
     own = stored(own.withColumn("is_license_file", F.col("license").isNotNull() & (F.col("path").rlike(LICENSE_NAME) | (F.col("license_words") >= LICENSE_SHARE * F.col("n_words")))), "license-own")
     dirs = own.filter("is_license_file").groupBy(F.col("dir").alias("at")).agg(F.max_by("license", F.struct("score", "license")).alias("inherited"))
