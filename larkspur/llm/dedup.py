@@ -217,6 +217,7 @@ def candidate_texts(texts: DataFrame) -> DataFrame:
     """
     found = texts.mapInArrow(_anchor_rows, "h long, th long, pos int, place long")
     twice = found.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a <> b").select("h")
+    twice = stored(twice, "dedup-anchors")  # so that the join deals both sides and a frequent anchor's rows can be split
     near = found.drop("place").join(twice.hint("merge"), "h").groupBy("th").agg(F.collect_set("pos").alias("at"))
     return texts.groupBy("th").agg(F.first("t").alias("t")).join(near.hint("merge"), "th")
 
