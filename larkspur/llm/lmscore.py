@@ -3,26 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesarr import column_bytes, row_chunks, words
+from .bytesarr import BASE, column_bytes, mix, words
 from .common import id_text, stored
 
 #: Bytes of text of the documents that are counted together.
 BLOCK_BYTES = 8 << 20
-#: A word is a state of the automaton if this share of all training tokens or more is that word: 10,000 states at most.
-STATE_SHARE = 1e-4
-#: An arc is kept for word pairs that make up this share or more of the training tokens, and occur twice or more.
-ARC_SHARE = 1e-6
+#: Words of the longest n-grams.
+ORDER = 2
 DISCOUNT = 0.5
-#: Words counted so often are sent back even if one block has them all, as they may be states.
-OFTEN = 20
 #: Stands for the end of a text.
 END = np.uint64(0)
 
@@ -36,162 +30,140 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, at, END), np.insert(rows, at, np.arange(len(per_row)))
 
 
-def _token_chunks(column: pa.Array, target: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    offsets = column_bytes(column)[1]
-    for first, last in row_chunks(offsets, target):
-        hashes, rows = _tokens(column[first:last])
-        yield first, hashes, rows
-
-
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _block_counts(table: pa.Table) -> pa.Table:
-    """(word, block, n): every distinct token of a block and how often its training documents have it."""
-    train = table.column("train").to_numpy(zero_copy_only=False)
+def _grams(hashes: np.ndarray, rows: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each number of words from 2: the tokens that end such an n-gram, the n-grams' hashes and those of their contexts.
+
+    A text begins as after an END, so its first token ends a pair, its second one a triple.
+    """
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    out, shorter = [], hashes
+    for k in range(2, order + 1):
+        context = np.append(END, shorter[:-1])[: len(shorter)]
+        context[place == 0] = END
+        at = np.flatnonzero(place >= k - 2)
+        shorter = mix((context + np.uint64(k)) * BASE ^ hashes)
+        out.append((at, shorter[at], context[at]))
+    return out
+
+
+def _counted(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, the first place of each, which one each value is, and their summed weights."""
+    types, first, which = np.unique(values, return_index=True, return_inverse=True)
+    return types, first, which, np.bincount(which, weights=weights, minlength=len(types)).astype(np.int64)
+
+
+def _block_counts(table: pa.Table, order: int = ORDER) -> pa.Table:
+    """(gram, context, words, block, n): every distinct n-gram of a block and how often its training documents have it."""
+    train = table.column("train").to_numpy(zero_copy_only=False).astype(np.float64)
     hashes, rows = _tokens(table.column("t").combine_chunks())
-    types, which = np.unique(hashes, return_inverse=True)
-    n = np.bincount(which, weights=train[rows], minlength=len(types)).astype(np.int64)
-    return pa.table({"word": _signed(types), "block": pa.array(np.full(len(types), table.column("block")[0].as_py()), pa.int32()), "n": pa.array(n, pa.int32())})
+    block = table.column("block")[0].as_py()
+    parts = []
+    for k, (at, grams, context) in enumerate([(np.arange(len(hashes)), hashes, np.zeros(len(hashes), np.uint64)), *_grams(hashes, rows, order)], 1):
+        types, first, _, n = _counted(grams, train[rows[at]])
+        parts.append(pa.table({"gram": _signed(types), "context": _signed(context[first]), "words": np.full(len(types), k, np.int32), "block": np.full(len(types), block, np.int32), "n": n.astype(np.int32)}))
+    return pa.concat_tables(parts)
 
 
 def _merge_counts(table: pa.Table) -> pa.Table:
-    """Sums the counts of a range of words.
+    """Sums the counts of a range of n-grams.
 
-    Gives (block, word, n, lead) for each block that has a word which other blocks have too, or that is frequent; lead
-    marks one row of each word. One more row (block -1) has the numbers of types and tokens of the range.
+    Gives (block, words, gram, n) for each block that has an n-gram which other blocks have too. Rows of words 0 have a
+    context and in how many different n-grams of the range it is followed; one row of words -1 has the numbers of types
+    and tokens of the range.
     """
-    word = table.column("word").to_numpy()
+    gram = table.column("gram").to_numpy()
     block = table.column("block").to_numpy()
-    n = table.column("n").to_numpy().astype(np.int64)
-    types, which, blocks = np.unique(word, return_inverse=True, return_counts=True)
-    total = np.bincount(which, weights=n, minlength=len(types)).astype(np.int64)
-    back = ((blocks > 1) & (total > 0) | (total >= OFTEN))[which]
-    lead = np.zeros(len(word), bool)
-    lead[np.unique(which, return_index=True)[1]] = True
+    words_ = table.column("words").to_numpy()
+    types, first, which, total = _counted(gram, table.column("n").to_numpy())
+    back = ((np.bincount(which, minlength=len(types)) > 1) & (total > 0))[which]
+    known, single = total > 0, words_[first] == 1
+    context, follows = np.unique(table.column("context").to_numpy()[first][known & ~single], return_counts=True)
+    single &= known
     return pa.table({
-        "block": pa.array(np.append(block[back], -1), pa.int32()), "word": np.append(word[back], int((total > 0).sum())),
-        "n": np.append(total[which][back], int(total.sum())), "lead": np.append(lead[back], False),
+        "block": pa.array(np.concatenate([block[back], np.full(len(context) + 1, -1)]), pa.int32()),
+        "words": pa.array(np.concatenate([words_[back], np.zeros(len(context)), [-1]]).astype(np.int32), pa.int32()),
+        "gram": np.concatenate([gram[back], context, [int(single.sum())]]).astype(np.int64),
+        "n": np.concatenate([total[which][back], follows, [int(total[single].sum())]]).astype(np.int64),
     })
 
 
-@dataclass
-class BackoffAutomaton:
-    """Smoothed n-grams up to pairs as states and arcs.
+def _replace(types: np.ndarray, values: np.ndarray, keys: np.ndarray, new: np.ndarray) -> None:
+    """Puts ``new`` where ``types``, sorted, has ``keys``."""
+    if len(types) and len(keys):
+        at = np.minimum(np.searchsorted(types, keys), len(types) - 1)
+        hit = types[at] == keys
+        values[at[hit]] = new[hit]
 
-    There is a root and a state for each frequent token. A state's arc for the next token, where the pair is kept,
-    carries log10 of its discounted share plus the backed-off rest; otherwise the failure arc to the root carries
-    log10 of the backoff weight, and the root's arc that of the token's own probability.
-    """
 
-    states: np.ndarray  # sorted hashes of the frequent tokens, END among them
-    arcs: np.ndarray  # sorted state * len(states) + token
-    weights: np.ndarray  # log10 of each arc
-    failure: np.ndarray  # log10 of each state's backoff weight; the last one, of the root, is 0
-    start: int
-
-    @classmethod
-    def build(cls, states: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, total: int, types: int) -> BackoffAutomaton:
-        m = len(states)
-        unigram = (counts + 0.5) / (total + 0.5 * (types + 1))
-        a, b = pairs // max(m, 1), pairs % max(m, 1)
-        share = (pair_counts - DISCOUNT) / counts[a] if len(pairs) else np.zeros(0)
-        rest = np.ones(m + 1)
-        np.subtract.at(rest, a, share)
-        rest = np.maximum(rest, 1e-9)
-        rest[m] = 1.0
-        return cls(states, pairs, np.log10(share + rest[a] * unigram[b]) if len(pairs) else np.zeros(0), np.log10(rest), int(np.searchsorted(states, END)))
-
-    def token_ids(self, hashes: np.ndarray) -> np.ndarray:
-        """The state of each token; len(states), the root, for the others."""
-        if not len(self.states):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.states, hashes), len(self.states) - 1)
-        return np.where(self.states[at] == hashes, at, len(self.states))
-
-    def walk(self, hashes: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-        """log10 of each token in a left-to-right walk over whole texts, each starting as after an END."""
-        m = len(self.states)
-        ids = self.token_ids(hashes)
-        state = np.append(self.start, ids[:-1]) if len(ids) else ids
-        out = self.failure[np.minimum(state, m)] + unigram
-        if len(self.arcs):
-            both = (state < m) & (ids < m)
-            key = state[both] * m + ids[both]
-            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-            hit = self.arcs[at] == key
-            where = np.flatnonzero(both)[hit]
-            out[where] = self.weights[at[hit]]
-        return out
-
-
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document.
 
     Documents whose crc32(id) mod 5 is not 1 are the training part. Tokens are words of anything but ASCII white space,
-    A-Z lower-cased, and an end; they are counted exactly over all training documents. Documents are dealt to blocks by
-    a hash. Each block counts its tokens; counts are summed by token; and only totals of tokens that several blocks have
-    go back to these blocks, which know the others. Tokens are told apart by 64-bit hashes.
+    A-Z lower-cased, and an end; they and all n-grams of up to ``order`` of them are counted exactly over all training
+    documents, none is dropped. Documents are dealt to blocks by a hash. Each block counts its n-grams; counts are summed
+    by n-gram; and only totals of n-grams that several blocks have go back to these blocks, which know the others.
+    N-grams are told apart by 64-bit hashes.
+
+    score is the walk of a weighted backoff automaton whose states are the n-grams: the arc of a state h for w has
+    max(n(hw) - DISCOUNT, 0) / n(h) plus the backed-off rest, DISCOUNT x (different followers of h) / n(h) times what the
+    state without h's first word gives. A state that the training part has not backs off at no cost.
 
     A null or empty text has the end alone. Without training documents every count is 0. Repeated rows are scored each
     (and counted each); other columns are ignored; an empty table gives an empty result.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), (F.crc32(id_text(F.col(doc_id))) % 5 != 1).alias("train"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(size / block_bytes))
+    blocks = max(1, math.ceil(size * order / block_bytes))
     dealt = source.withColumn("block", F.pmod(F.xxhash64(id_text(F.col("doc_id")), F.coalesce("t", F.lit(""))), F.lit(blocks)).cast("int"))
     ranges = max(1, 2 * blocks)
-    counts = dealt.groupBy("block").applyInArrow(_block_counts, "word long, block int, n int")
-    merged = stored(counts.groupBy(F.pmod(F.col("word"), F.lit(ranges)).cast("int")).applyInArrow(_merge_counts, "block int, word long, n long, lead boolean"), "lm-counts")
-    row = merged.filter("block = -1").agg(F.coalesce(F.sum("word"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counts = dealt.groupBy("block").applyInArrow(lambda table: _block_counts(table, order), "gram long, context long, words int, block int, n int")
+    merged = stored(counts.groupBy(F.pmod(F.col("gram"), F.lit(ranges)).cast("int")).applyInArrow(_merge_counts, "block int, words int, gram long, n long"), "lm-counts")
+    row = merged.filter("words = -1").agg(F.coalesce(F.sum("gram"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     types, total = int(row[0]), int(row[1])
-    frequent = merged.filter((F.col("block") >= 0) & F.col("lead") & (F.col("n") >= max(1, math.ceil(STATE_SHARE * total)))).select("word", "n").toArrow()
-    states, counts_of = frequent.column("word").to_numpy().view(np.uint64), frequent.column("n").to_numpy().astype(np.float64)
-    by = np.argsort(states)
-    states, counts_of = states[by], counts_of[by]
-    seen = BackoffAutomaton.build(states, counts_of, np.zeros(0, np.int64), np.zeros(0), total, types)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = len(seen.states)
-        for batch in batches:
-            train = batch.column("train").to_numpy(zero_copy_only=False)
-            for first, hashes, rows in _token_chunks(batch.column("t"), 8 << 20):
-                ids = seen.token_ids(hashes)
-                state = np.append(seen.start, ids[:-1])
-                good = (ids < m) & (state < m) & train[first + rows]
-                codes, n = np.unique(state[good] * m + ids[good], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
-
-    least = max(2, math.ceil(ARC_SHARE * total))
-    found = source.select("t", "train").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow() if len(states) else pa.table({"pair": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    codes, n = found.column("pair").to_numpy(), found.column("n").to_numpy().astype(np.float64)
-    by = np.argsort(codes)
-    automaton = BackoffAutomaton.build(states, counts_of, codes[by], n[by], total, types)
     kind = source.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def score(texts: pa.Table, totals: pa.Table) -> pa.Table:
         column = texts.column("t").combine_chunks() if texts.num_rows else pa.array([], pa.string())
-        train = texts.column("train").to_numpy(zero_copy_only=False)
+        train = texts.column("train").to_numpy(zero_copy_only=False).astype(np.float64)
         hashes, rows = _tokens(column)
-        known, which = np.unique(hashes, return_inverse=True)
-        count = np.bincount(which, weights=train[rows], minlength=len(known)) if len(known) else np.zeros(0)
-        back = totals.column("word").to_numpy().view(np.uint64)
-        if len(back) and len(known):
-            at = np.minimum(np.searchsorted(known, back), len(known) - 1)
-            hit = known[at] == back
-            count[at[hit]] = totals.column("n").to_numpy()[hit]
-        unigram = np.log10((count + 0.5) / (total + 0.5 * (types + 1)))[which]
+        length = totals.column("words").to_numpy()
+        gram, n, follows = (totals.column(k).to_numpy() for k in ("gram", "n", "follows"))
+        known, _, which, count = _counted(hashes, train[rows])
+        _replace(known, count, gram[length == 1].view(np.uint64), n[length == 1])
+        likely = ((count + 0.5) / (total + 0.5 * (types + 1)))[which]
         n_rows = len(column)
-        walked = automaton.walk(hashes, unigram)
+        seen, unigram = count[which] > 0, np.log10(likely)
+        for k, (at, grams, context) in enumerate(_grams(hashes, rows, order), 2):
+            longer, first, place, joint = _counted(grams, train[rows[at]])
+            mine = joint > 0
+            _replace(longer, joint, gram[length == k].view(np.uint64), n[length == k])
+            # contexts of one block have all their n-grams there; the others' followers come with the totals
+            states, state = np.unique(context, return_inverse=True)
+            after = np.bincount(state[first], weights=mine, minlength=len(states))
+            _replace(states, after, gram[length == k - 1].view(np.uint64), follows[length == k - 1])
+            times = np.zeros(len(states))
+            _replace(states, times, known, count)
+            times, after = times[state], after[state]
+            good = times > 0
+            share = np.maximum(joint[place] - DISCOUNT, 0) / np.maximum(times, 1)
+            likely[at] = np.where(good, share + DISCOUNT * after / np.maximum(times, 1) * likely[at], likely[at])
+            known, count = longer, joint
+        walked = np.log10(likely)
         add = lambda x: np.bincount(rows, weights=x, minlength=n_rows)
         return pa.table([
-            texts.column("doc_id"), pa.array(~train.astype(bool), pa.bool_()), pa.array(np.bincount(rows, minlength=n_rows), pa.int64()), pa.array(add(count[which] > 0).astype(np.int64)),
+            texts.column("doc_id"), pa.array(~train.astype(bool), pa.bool_()), pa.array(np.bincount(rows, minlength=n_rows), pa.int64()), pa.array(add(seen).astype(np.int64)),
             pa.array(np.full(n_rows, total), pa.int64()), pa.array(add(unigram)), pa.array(add(walked)),
         ], names=names)
 
-    right = merged.filter("block >= 0").select("block", "word", "n")
+    follows = merged.filter("words = 0").groupBy("gram").agg(F.sum("n").alias("follows"))
+    back = merged.filter("words > 0").select("block", "words", "gram", "n")
+    states = back.filter(F.col("words") < order).join(follows, "gram", "left").select("block", "words", "gram", "n", F.coalesce("follows", F.lit(0)).alias("follows"))
+    right = states.unionByName(back.filter(F.col("words") == order).withColumn("follows", F.lit(0).cast("long"))) if order > 1 else back.withColumn("follows", F.lit(0).cast("long"))
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(score, schema)
 
@@ -200,5 +172,5 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-SQL: dict[str, str] = {}  # the automaton can't be expressed in SQL; base_score is tested against brute force
+SQL: dict[str, str] = {}  # the automaton can't be expressed in SQL; both scores are tested against brute force
 QUERIES = {"op5_lm_score": op5_lm_score}
