@@ -309,6 +309,16 @@ def url_normalize(c):
     return c.table("pages").filter(~F.col("url").contains("utm_")).select("page_id", address.alias("address"), F.sha2(address, 256).alias("identity"))
 
 
+_ADDRESS = r"(SELECT page_id, lower(regexp_extract(u, '^(?i)(https?://[^/?]*)', 1)) AS host, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(u, '^(?i)https?://[^/?]*(.*)$', 1), '([?&])(?i:utm_(?:source|medium|campaign|term|content))=[^&]*', '\1', 'g'), '&{2,}', '&', 'g'), '\?&+', '?', 'g'), '[?&]+$', '') AS rest FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages))"
+
+
+@query(f"SELECT page_id, address, sha256(address) AS identity FROM (SELECT page_id, CASE WHEN host <> '' THEN regexp_replace(host || rest, '/$', '') END AS address FROM {_ADDRESS})")
+def url_normalize_all(c):
+    """url_normalize over every page, those with tracking parameters among them."""
+    address = text.normalise_url(F.col("url"))
+    return c.table("pages").select("page_id", address.alias("address"), F.sha2(address, 256).alias("identity"))
+
+
 @query("SELECT sha256(text) AS hash, min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY 1")
 def page_dedupe(c):
     return c.table("documents").groupBy(text.content_hash(F.col("text")).alias("hash")).agg(F.min("doc_id").alias("kept"), F.count(F.lit(1)).alias("copies"))
