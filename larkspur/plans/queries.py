@@ -333,6 +333,15 @@ def vector_neighbours(c):
     return mine.join(other, "label").filter("vec_id < other_id").withColumn("d", F.sqrt(square)).filter("d <= 6.0").select("vec_id", "other_id", F.round("d", 5).alias("distance"))
 
 
+@query("SELECT a.vec_id, b.vec_id AS other_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 6.0")
+def vector_neighbours_all(c):
+    """Distances of a stated query set (ids divisible by 20) to all other vectors, of any label and id."""
+    e = c.table("embeddings")
+    mine, other = e.filter("vec_id % 20 = 0").select("vec_id", F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("other_id"), F.col("embedding").alias("y"))
+    square = F.aggregate(F.zip_with("x", "y", lambda a, b: (a.cast("double") - b.cast("double")) ** 2), F.lit(0.0), lambda s, v: s + v)
+    return other.crossJoin(mine).filter("vec_id <> other_id").withColumn("d", F.sqrt(square)).filter("d <= 6.0").select("vec_id", "other_id", F.round("d", 5).alias("distance"))
+
+
 _NEXT = "cur AS (SELECT row_number() OVER (ORDER BY c_custkey) AS id, c_custkey AS key, c_name AS name, c_acctbal AS rating FROM customer WHERE c_custkey % 3 <> 0), inc AS (SELECT c_custkey AS key, upper(c_name) AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal + 1 END AS rating FROM customer WHERE c_custkey % 2 = 0)"
 
 

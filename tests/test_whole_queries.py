@@ -2,6 +2,8 @@
 
 import hashlib
 
+import numpy as np
+
 from larkspur.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -27,3 +29,12 @@ def test_every_url_is_normalised(spark, tmp_path):
     spark.createDataFrame(urls, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r["page_id"]: (r["address"], r["identity"]) for r in QUERIES["url_normalize_all"](spark, str(tmp_path)).collect()}
     assert got == {k: (plain_address(u), hashlib.sha256(plain_address(u).encode()).hexdigest()) for k, u in urls}
+
+
+def test_neighbours_of_any_label_and_id(spark):
+    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x, label = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64), {r["vec_id"]: r["label"] for r in rows}
+    want = {(int(a), int(b)) for a, v in zip(ids, x) if a % 20 == 0 for b in ids[np.sqrt(((x - v) ** 2).sum(1)) <= 6.0] if a != b}
+    got = [(r["vec_id"], r["other_id"]) for r in QUERIES["vector_neighbours_all"](spark, FOLDER).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(label[a] != label[b] for a, b in got) and any(a > b for a, b in got)
