@@ -10,7 +10,7 @@ import numpy as np
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|title|button|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
@@ -25,6 +25,9 @@ BLOCKS = frozenset(
     "form fieldset legend label blockquote pre figure figcaption address details summary hr center dialog menu hgroup search".split()
 )
 VOID = frozenset(["hr"])
+#: Tags whose content is no text of the page, and those of them that may hold themselves.
+SKIPPED = frozenset("noscript template svg iframe textarea select title button object".split())
+NESTING = frozenset(["svg", "object", "template"])
 #: An opening tag of the first kind ends an open one of the second, up to a block that holds such tags.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
@@ -81,6 +84,36 @@ def _families(attributes: str) -> int:
     return out
 
 
+def _skipped_to(source: str, at: int, tag: str, around: set[str]) -> int:
+    """Where an element without text of the page ends: at its end tag, if that comes before the end of a block in ``around``.
+
+    Without such an end tag it ends where the next block begins or ends.
+    """
+    inner: list[str] = []
+    nested, boundary = 0, None
+    for m in _TOKEN.finditer(source, at):
+        name = (m[3] or "").lower()
+        if name == tag:
+            if m[2]:
+                if not nested:
+                    return m.end()
+                nested -= 1
+            elif tag not in NESTING:
+                return m.start() if boundary is None else boundary
+            elif not (tag == "svg" and m[4].rstrip().endswith("/")):
+                nested += 1
+        elif name in BLOCKS:
+            boundary = m.start() if boundary is None else boundary
+            if not m[2]:
+                inner.append(name)
+            elif name in inner:
+                while inner.pop() != name:
+                    pass
+            elif name in around:
+                return boundary
+    return len(source) if boundary is None else boundary
+
+
 def read_page(source: str | None) -> Page:
     page = Page()
     tags, parent, depth, end, family, inline, links = page.tags, page.parent, page.depth, page.end, page.family, page.inline, page.links
@@ -113,7 +146,7 @@ def read_page(source: str | None) -> Page:
         end[0] = 1
         return page
     at, in_link = 0, False
-    for m in _TOKEN.finditer(source):
+    while m := _TOKEN.search(source, at):
         first = m.start()
         if first > at:
             run.append(source[at:first])
@@ -126,6 +159,11 @@ def read_page(source: str | None) -> Page:
                 inline[stack[-1]] += 1
             continue
         tag = tag.lower()
+        if tag in SKIPPED and not m[2]:
+            inline[stack[-1]] += 1
+            if not (tag == "svg" and m[4].rstrip().endswith("/")):
+                at = _skipped_to(source, at, tag, {tags[k] for k in stack})
+            continue
         if tag not in BLOCKS:
             if tag == "a":
                 in_link = not m[2]

@@ -8,7 +8,7 @@ import zlib
 import pytest
 
 from fixtures import prose, rows
-from larkspur.llm import lmscore
+from larkspur.llm import dom, lmscore
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -50,3 +50,17 @@ def test_lm_keeps_every_ngram(spark, order):
     want = sorted(round(x, 6) for x in brute_lm(texts, order))
     for size in (8 << 20, 3000):
         assert sorted(round(r["score"], 6) for r in lmscore.score_documents(docs, block_bytes=size, order=order).collect()) == want
+
+
+@pytest.mark.parametrize("source, want", [
+    ('<p>a <svg class="i"/> b</p><p>rest', "a b|rest"),
+    ("<p>a <svg-icon></svg-icon>b</p><p>rest", "a b|rest"),
+    ("<body><button>Menu<p>a</p><p>rest</p></body>", "a|rest"),
+    ("<div>x <object data=o> old</div><p>rest <button>c</button>", "x|rest"),
+    ("<p>a <svg><g><svg/></g><svg><text>t</text></svg> u</svg>b</p>", "a b"),
+    ("<div>a<button>x<button>y</button>b</div>", "ab"),
+    ("<p>a<noscript><div>n</div></noscript>b<p>c<script>d</p>", "ab|c"),
+    ("<title>t</title><p>a<select><option>o</select>b", "ab"),
+])
+def test_html_unclosed_elements(source, want):
+    assert "|".join(text for _, text in dom.read_page(source).runs) == want
