@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import id_text
 
-#: Bounds of the labelled sample: languages (the most frequent), documents and symbols of each.
-MAX_LANGUAGES = 64
+#: Bounds of the labelled sample: documents and symbols of each language.
 SAMPLE_DOCS = 96
 SAMPLE_SYMBOLS = 30_000
-#: A document of the sample is whole and not longer than this.
+#: A document of the sample is cut after so many characters.
 SAMPLE_DOC_CHARS = 4_000
 #: Texts are parsed in blocks of so many symbols, side by side; no phrase crosses a block's end.
 BLOCK = 512
@@ -29,10 +29,10 @@ def fold(held_part: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, doc_id: str, text: str, lang: str) -> dict[str, list[str]]:
-    """For each language, whole documents in the order of a hash, at most SAMPLE_DOCS of them."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(F.col(doc_id)) != 0)).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), F.col(doc_id).alias("i"))
-    known = known.filter(F.length("t").between(1, SAMPLE_DOC_CHARS))
-    counts = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES)
+    """For each language, beginnings of documents in the order of a hash, at most SAMPLE_DOCS of them."""
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(F.col(doc_id)) != 0)).select(F.col(lang).cast("string").alias("l"), F.substring(F.col(text), 1, SAMPLE_DOC_CHARS).alias("t"), F.col(doc_id).alias("i"))
+    known = known.filter(F.length("t") >= 1)
+    counts = known.groupBy("l").count()
     every = F.greatest(F.lit(1), F.floor(F.col("count") / (2 * SAMPLE_DOCS))).cast("long")
     picked = known.withColumn("h", F.xxhash64(id_text(F.col("i")), "t")).join(F.broadcast(counts), "l").filter(F.pmod(F.col("h"), every) == 0)
     ranked = picked.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).filter(F.col("k") <= SAMPLE_DOCS)
@@ -74,46 +74,75 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """Automata of all languages in one table of moves.
+    """One automaton of each language as a table of moves.
 
     Symbol 0 stands for any run of characters that are no letters, 1 for a letter that no sample has, the last for
-    padding. A move is twice the next state, plus one where a phrase ends and the next begins with this symbol.
+    padding. Where the samples have over LETTERS letters, the SINGLE most frequent have a symbol each, and the others
+    are written as two or more digits, each with symbols of its own for every place. A language's table has columns for
+    its own symbols, for all others (column 0) and for padding. A move is twice the next state, plus one where a phrase
+    ends and the next begins with this symbol.
     """
 
+    LETTERS, SINGLE = 250, 100
+
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         texts = {k: " ".join(samples[k]).lower() for k in self.languages}
-        letters = sorted({c for t in texts.values() for c in t if c.isalpha()})[:250]
+        seen = Counter()
+        for t in texts.values():
+            seen.update(t)
+        letters = sorted(c for c in seen if c.isalpha())
         self.code = np.zeros(0x110000, np.uint8)
         for plane in range(0, 0x30000, 0x10000):
             for c in range(plane, plane + 0x10000):
                 if chr(c).isalpha():
                     self.code[c] = 1
+        self.digits, self.radix = 0, 0
+        if len(letters) > self.LETTERS:
+            single = set(sorted(letters, key=lambda c: (-seen[c], c))[: self.SINGLE])
+            others = [c for c in letters if c not in single]
+            letters = sorted(single)
+            self.digits = 2
+            while self.digits * (radix := math.ceil(len(others) ** (1 / self.digits) + 1e-9)) > self.LETTERS - self.SINGLE:
+                self.digits += 1
+            self.radix = radix
+            self.number = np.full(0x110000, -1, np.int32)
+            self.number[[ord(c) for c in others]] = np.arange(len(others))
         for k, c in enumerate(letters, 2):
             self.code[ord(c)] = k
-        self.pad = len(letters) + 2
-        width = self.pad + 1
-        moves, self.roots, self.bits = [], [], []
-        base = 0
+        self.first_digit = len(letters) + 2
+        self.pad = self.first_digit + self.digits * self.radix
+        self.moves, self.columns, self.widths, self.bits = [], [], [], []
         for k in self.languages:
             symbols = self.symbols(texts[k])[:SAMPLE_SYMBOLS]
-            states = suffix_automaton(symbols.tolist())
-            table = np.full((len(states), width), -1, np.int64)
+            own = np.unique(symbols)
+            column = np.zeros(self.pad + 1, np.uint8)
+            column[own] = np.arange(1, len(own) + 1)
+            column[self.pad] = len(own) + 1
+            states = suffix_automaton(column[symbols].tolist())
+            table = np.full((len(states), len(own) + 2), -1, np.int64)
             for s, to in enumerate(states):
                 if to:
                     table[s, list(to)] = list(to.values())
             root = np.where(table[0] >= 0, table[0], 0)
-            table = np.where(table >= 0, (table + base) * 2, (root + base)[None, :] * 2 + 1)
-            table[:, self.pad] = (np.arange(len(states)) + base) * 2
-            moves.append(table.astype(np.int32))
-            self.roots.append(base)
+            table = np.where(table >= 0, table * 2, root[None, :] * 2 + 1)
+            table[:, -1] = np.arange(len(states)) * 2
+            self.moves.append(table.astype(np.int32).ravel())
+            self.columns.append(column)
+            self.widths.append(len(own) + 2)
             self.bits.append(math.log2(max(2, len(symbols))))
-            base += len(states)
-        self.moves = np.concatenate(moves).ravel()
-        self.width = width
 
     def symbols(self, text: str) -> np.ndarray:
-        s = self.code[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+        at = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        s = self.code[at]
+        if self.digits and len(s):
+            number = self.number[at]
+            coded = number >= 0
+            size = np.where(coded, self.digits, 1)
+            start = (np.cumsum(size) - size)[coded]
+            s = np.repeat(s, size)
+            for k in range(self.digits):
+                s[start + k] = self.first_digit + k * self.radix + number[coded] // self.radix ** (self.digits - 1 - k) % self.radix
         if len(s):
             s = s[np.append(True, (s[1:] != 0) | (s[:-1] != 0))]
         return s
@@ -132,12 +161,12 @@ class CrossParser:
         for k, s in enumerate(coded):
             grid[first[k] : first[k + 1]].ravel()[: len(s)] = s
         owner = np.repeat(np.arange(len(texts)), blocks)
-        steps = np.ascontiguousarray(grid.T).astype(np.int32)
-        for lang, root in enumerate(self.roots):
-            state = np.full(first[-1], root, np.int32)
+        steps = np.ascontiguousarray(grid.T)
+        for lang, (moves, column, width) in enumerate(zip(self.moves, self.columns, self.widths)):
+            state = np.zeros(first[-1], np.int32)
             ends = np.zeros(first[-1], np.int32)
-            for symbol in steps:
-                move = self.moves[state * np.int32(self.width) + symbol]
+            for symbol in column.astype(np.int32)[steps]:
+                move = moves[state * np.int32(width) + symbol]
                 ends += move & 1
                 state = move >> 1
             # the phrase that a block's end leaves open counts too

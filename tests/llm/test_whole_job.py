@@ -2,13 +2,14 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
 import pytest
 
 from fixtures import prose, rows
-from larkspur.llm import dom, lmscore
+from larkspur.llm import dom, langid, lmscore
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -64,3 +65,15 @@ def test_lm_keeps_every_ngram(spark, order):
 ])
 def test_html_unclosed_elements(source, want):
     assert "|".join(text for _, text in dom.read_page(source).runs) == want
+
+
+def test_every_language_is_learned(spark):
+    r = random.Random(3)
+    # Latin texts of 70 languages, one of them in long documents alone, and three scripts after more letters than one table of symbols holds
+    words = {f"l{k:02}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 7))) for _ in range(30)] for k in range(70)}
+    for name, first, n in (("zh", 0x4E00, 600), ("xh", 0x5800, 600), ("ko", 0xAC00, 300)):
+        words[name] = ["".join(chr(first + r.randrange(n)) for _ in range(2)) for _ in range(60)]
+    table = [(k * 20 + j, " ".join(r.choice(w) for _ in range(1500 if name == "l07" else 60)), name) for k, (name, w) in enumerate(sorted(words.items())) for j in range(12)]
+    got = {x["doc_id"]: x for x in langid.identify_language(spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()}
+    assert any(x["held_out"] for x in got.values())
+    assert [(k, got[k]["lang_pred"]) for k, _, lang in table if got[k]["lang_pred"] != lang] == []
