@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, stored
 
+_FREE = "This {0} is free software: you can redistribute it and/or modify it under the terms of the {2} as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version. "
+_HOPE = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {1} for more details. You should have received a copy of the {1} along with this {0}. If not, see <https://www.gnu.org/licenses/>."
+_GRANT = "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+_AS_IS = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+_ISC_AS_IS = "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_FREED = "This is free and unencumbered software released into the public domain. "
+_UNLICENSE = "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. For more information, please refer to <https://unlicense.org>"
+
 #: Notices by SPDX name. Fixed values, public texts.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -22,7 +36,33 @@ TEMPLATES = (
     ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("GPL-3.0", _FREE.format("program", "program", "GNU General Public License", "3")),
+    ("GPL-2.0", _FREE.format("program", "program", "GNU General Public License", "2")),
+    ("LGPL-3.0", _FREE.format("library", "library", "GNU Lesser General Public License", "3")),
+    ("LGPL-2.1", _FREE.format("library", "library", "GNU Lesser General Public License", "2.1")),
+    ("AGPL-3.0", _FREE.format("program", "program", "GNU Affero General Public License", "3")),
+    ("GPL-3.0", _FREE.format("program", "program", "GNU General Public License", "3") + _HOPE.format("program", "GNU General Public License")),
+    ("GPL-2.0", _FREE.format("program", "program", "GNU General Public License", "2") + _HOPE.format("program", "GNU General Public License")),
+    ("LGPL-3.0", _FREE.format("library", "library", "GNU Lesser General Public License", "3") + _HOPE.format("library", "GNU Lesser General Public License")),
+    ("LGPL-2.1", _FREE.format("library", "library", "GNU Lesser General Public License", "2.1") + _HOPE.format("library", "GNU Lesser General Public License")),
+    ("AGPL-3.0", _FREE.format("program", "program", "GNU Affero General Public License", "3") + _HOPE.format("program", "GNU Affero General Public License")),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("CC-BY-SA-4.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("MIT", _GRANT + _AS_IS),
+    ("ISC", _ISC),
+    ("ISC", _ISC + _ISC_AS_IS),
+    ("BSD-2-Clause", _BSD + _BSD_AS_IS),
+    ("BSD-3-Clause", _BSD + _BSD_NAMES + _BSD_AS_IS),
+    ("Unlicense", _FREED),
+    ("Unlicense", _FREED + _UNLICENSE),
 )
+#: Lines of comments, as a Java pattern.
+COMMENT = r"^\s*(?:#|//|/\*|\*|--|;|%|<!--|\"\"\"|'''|(?i:rem)\b)"
 #: Least cosine of a line with a template.
 THRESHOLD = 0.7
 #: Least different words of the templates in a line that is compared.
@@ -48,56 +88,77 @@ def template_words(templates: tuple[tuple[str, str], ...]) -> dict[int, dict[str
     return out
 
 
+def _units(path: Column) -> Column:
+    """What is compared of a file's ``raw`` lines and their words (``lines``): structs of first line, last line and words.
+
+    These are the lines with words, runs of two or more of them, runs of two or more comment lines (with or without
+    words), and a file named as a licence file as a whole.
+    """
+
+    def runs(keep: Callable[[Column, Column], Column]) -> Column:
+        # lines with their numbers; an empty one ends a run
+        marked = F.transform(F.arrays_zip("raw", "lines"), lambda x, i: F.when(keep(x["raw"], x["lines"]), F.concat(i.cast("string"), F.lit("|"), F.array_join(x["lines"], " "))).otherwise(""))
+        found = F.filter(F.split(F.array_join(marked, "\n"), "\n\n+"), lambda r: r != "")
+        found = F.transform(found, lambda r: F.split(F.regexp_replace(r, "^\n|\n$", ""), "\n"))
+        found = F.filter(found, lambda r: F.size(r) > 1)
+        words = lambda r: F.filter(F.split(F.array_join(F.transform(r, lambda x: F.substring_index(x, "|", -1)), " "), " "), lambda w: w != "")
+        return F.transform(found, lambda r: F.struct(F.substring_index(r[0], "|", 1).cast("int").alias("line"), (F.substring_index(r[0], "|", 1).cast("int") + F.size(r) - 1).alias("last"), words(r).alias("w")))
+
+    single = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("line"), i.alias("last"), x.alias("w"))), lambda u: F.size(u["w"]) > 0)
+    whole = F.when(path.rlike(LICENSE_NAME), F.array(F.struct(F.lit(0).alias("line"), (F.size("lines") - 1).alias("last"), F.flatten("lines").alias("w"))))
+    return F.array_distinct(F.concat(single, runs(lambda raw, words: F.size(words) > 0), runs(lambda raw, words: raw.rlike(COMMENT)), F.coalesce(whole, F.array().cast("array<struct<line:int,last:int,w:array<string>>>"))))
+
+
 def license_lines(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, line, license, score, words, n_words) of the lines of (key, t) whose best template reaches the threshold.
+    """(key, line, last, license, score, sizes, n_words) of the units of (key, t, path) whose best template reaches the threshold.
 
-    Weights are tf x idf; idf is ln((1 + lines) / (1 + lines with the word)) + 1 over all lines of all files, and the
-    templates' mean for words that no template has. Ties go to the first template. Lines are compared with the
-    templates, a fixed list of few, through shared words only. A line's cosine is at most the share of its length that
-    words of the templates have, so lines for which that falls short of the threshold go before any shuffle. n_words
-    are the words of the whole file.
+    Units are lines, blocks and whole licence files (see _units). Weights are tf x idf; idf is ln((1 + lines) / (1 + lines
+    with the word)) + 1 over all lines of all files, for every word. Ties go to the first template. Units are compared
+    with the templates, a fixed list of few, through shared words only. As no idf is under 1, a unit's cosine is at most
+    the share of its length that words of the templates have if all others had idf 1, so units for which that falls short
+    of the threshold go before any shuffle. sizes are the words of each line, n_words those of the whole file.
     """
     spark = files.sparkSession
     counts = template_words(templates)
     words = sorted({w for c in counts.values() for w in c})
-    lines = files.select("key", F.transform(F.split("t", "\n"), line_words).alias("lines"))
-    seen = lines.select(F.explode(F.filter("lines", lambda x: F.size(x) > 0)).alias("x"))
-    seen = seen.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(F.filter("x", lambda w: w.isin(words))))).alias("word"))
-    frequency = {r["word"]: r["n"] for r in seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as the templates have words
+    lines = files.select("key", "path", F.split("t", "\n").alias("raw")).withColumn("lines", F.transform("raw", line_words))
+    seen = lines.select(F.explode(F.filter("lines", lambda x: F.size(x) > 0)).alias("x")).select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("x"))).alias("word"))
+    seen = stored(seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "license-words")
+    frequency = {r["word"]: r["n"] for r in seen.filter(F.col("word").isin(["", *words])).collect()}  # as many as the templates have words
     total = frequency.pop("", 0)
     idf_of = {w: math.log((1 + total) / (1 + frequency.get(w, 0))) + 1 for w in words}
-    rest = sum(idf_of.values()) / max(1, len(words))
-    rows = lambda structs: spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
-    idf = rows([F.struct(F.lit(w).alias("word"), F.lit(v).alias("idf")) for w, v in idf_of.items()])
-    other = F.lit(rest)
-    shape = rows([F.struct(F.lit(k).alias("template"), F.lit(templates[k][0]).alias("license"), F.lit(w).alias("word"), F.lit(n).alias("tf")) for k, c in counts.items() for w, n in c.items()]).join(F.broadcast(idf), "word")
-    norms = shape.groupBy("template").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
-    shape = stored(shape.join(norms, "template").select("word", "template", "license", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight")).coalesce(1), "license-templates")
-    weights = F.map_from_arrays(F.array(*map(F.lit, idf_of)), F.array(*map(F.lit, idf_of.values())))
-
-    def may_match(s: Column) -> Column:
-        known, outside = s["known"], F.size(s["w"]) - F.size(s["known"])
+    weights = F.from_json(F.lit(json.dumps(idf_of)), "map<string,double>")
+    norms = {k: math.sqrt(sum((n * idf_of[w]) ** 2 for w, n in c.items())) for k, c in counts.items()}
+    shape = json.dumps([{"word": w, "template": k, "license": templates[k][0], "weight": n * idf_of[w] / norms[k]} for k, c in counts.items() for w, n in c.items()])
+    shape = stored(spark.range(1).select(F.explode(F.from_json(F.lit(shape), "array<struct<word:string,template:int,license:string,weight:double>>")).alias("r")).select("r.*").coalesce(1), "license-templates")
+
+    def may_match(u: Column) -> Column:
+        known = F.filter(u["w"], lambda w: w.isin(words))
+        outside = F.size(u["w"]) - F.size(known)
         inside = F.aggregate(F.array_distinct(known), F.lit(0.0), lambda sum_, w: sum_ + (F.size(F.filter(known, lambda x: x == w)) * F.element_at(weights, w)) ** 2)
         least = threshold**2 * (1 - 1e-6)
-        return (F.size(F.array_distinct(known)) >= SHARED_WORDS) & (inside * (1 - least) >= least * outside * rest**2)
-
-    parted = F.transform("lines", lambda x, i: F.struct(i.alias("line"), x.alias("w"), F.filter(x, lambda w: w.isin(words)).alias("known")))
-    n_words = F.aggregate("lines", F.lit(0), lambda n, x: n + F.size(x))
-    close = lines.select("key", n_words.alias("n_words"), F.filter(parted, may_match).alias("c")).filter(F.size("c") > 0)
-    close = stored(close.select("key", "n_words", F.explode("c").alias("c")).select("key", "n_words", "c.line", "c.w").dropDuplicates(["key", "line"]), "license-lines")
-    tf = close.select("key", "n_words", "line", F.size("w").alias("words"), F.explode("w").alias("word")).groupBy("key", "n_words", "line", "words", "word").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = tf.join(F.broadcast(idf), "word", "left").withColumn("v", F.col("tf") * F.coalesce(F.col("idf"), other))
-    norm = weighted.groupBy("key", "n_words", "line", "words").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("norm"))
-    dots = weighted.join(F.broadcast(shape), "word").groupBy("key", "line", "template", "license").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
-    scored = dots.join(norm, ["key", "line"]).select("key", "n_words", "line", "words", "license", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
-    best = scored.groupBy("key", "n_words", "line", "words").agg(F.max(F.struct("score", -F.col("template"), "license")).alias("b"))
-    return best.select("key", "n_words", "line", "words", F.col("b.license").alias("license"), F.col("b.score").alias("score"))
+        # the distinct words of the templates are few, so the cheap test comes first
+        return (F.size(F.array_distinct(known)) >= SHARED_WORDS) & (inside * (1 - least) >= least * outside)
+
+    sizes = F.transform("lines", lambda x: F.size(x))
+    close = lines.select("key", F.aggregate("lines", F.lit(0), lambda n, x: n + F.size(x)).alias("n_words"), sizes.alias("sizes"), F.filter(_units(F.col("path")), may_match).alias("c")).filter(F.size("c") > 0)
+    close = close.select("key", "n_words", "sizes", F.explode("c").alias("c")).select("key", "n_words", "c.line", "c.last", "c.w", F.slice("sizes", F.col("c.line") + 1, F.col("c.last") - F.col("c.line") + 1).alias("sizes"))
+    close = stored(close.dropDuplicates(["key", "line", "last"]), "license-lines")
+    tf = close.select("key", "line", "last", F.explode("w").alias("word")).groupBy("key", "line", "last", "word").agg(F.count(F.lit(1)).alias("tf"))
+    idf = seen.select("word", (F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("n"))) + 1).alias("idf"))
+    weighted = stored(tf.join(idf, "word").select("key", "line", "last", "word", (F.col("tf") * F.col("idf")).alias("v")), "license-weights")
+    norm = weighted.groupBy("key", "line", "last").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("norm"))
+    dots = weighted.join(F.broadcast(shape), "word").groupBy("key", "line", "last", "template", "license").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
+    scored = dots.join(norm, ["key", "line", "last"]).select("key", "line", "last", "license", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
+    best = scored.groupBy("key", "line", "last").agg(F.max(F.struct("score", -F.col("template"), "license")).alias("b"))
+    return close.drop("w").join(best, ["key", "line", "last"]).select("key", "n_words", "line", "last", "sizes", F.col("b.license").alias("license"), F.col("b.score").alias("score"))
 
 
 def scan_licenses(files: DataFrame, doc_id: str = "doc_id", text: str = "text", path: Column | str = "path", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, license, score, n_lines, is_license_file, inherited, from_dir, effective of each file.
 
-    license is that of the file's best line (ties: the first template), score its cosine. A licence file sets the licence of its
+    license is that of the file's best line, block of lines or, in a licence file, whole text (ties: the first template),
+    score its cosine; n_lines are the lines in any that match. A licence file sets the licence of its
     directory (several: the best score, then the name). A file without a licence of its own inherits from the nearest
     directory at or above its own that has one. Directories are joined by path, each directory once.
 
@@ -107,8 +168,12 @@ def scan_licenses(files: DataFrame, doc_id: str = "doc_id", text: str = "text",
     where = F.coalesce((F.col(path) if isinstance(path, str) else path).cast("string"), F.lit(""))
     named = files.select(F.col(doc_id).alias("doc_id"), where.alias("path"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     named = named.withColumn("key", F.xxhash64(id_text(F.col("doc_id")), "path", "t"))
-    lines = license_lines(named.select("key", "t"), templates, threshold)
-    found = stored(lines.groupBy("key").agg(F.max(F.struct("score", -F.col("line"), "license")).alias("b"), F.count(F.lit(1)).alias("n_lines"), F.sum("words").alias("license_words"), F.first("n_words").alias("n_words")).select("key", "b.license", "b.score", "n_lines", "license_words", "n_words"), "license-found")
+    lines = stored(license_lines(named.select("key", "t", "path"), templates, threshold), "license-units")
+    # a line may be in several units that match
+    covered = lines.select("key", F.posexplode("sizes").alias("k", "size"), "line").select("key", (F.col("line") + F.col("k")).alias("at"), "size").filter("size > 0").distinct()
+    covered = covered.groupBy("key").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("size").alias("license_words"))
+    best = lines.groupBy("key").agg(F.max(F.struct("score", -F.col("line"), "license")).alias("b"), F.first("n_words").alias("n_words"))
+    found = stored(best.join(covered, "key").select("key", "b.license", "b.score", "n_lines", "license_words", "n_words"), "license-found")
     slim = named.select("doc_id", "path", "key")
     own = slim.join(found, "key", "left").withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
     own = stored(own.withColumn("is_license_file", F.col("license").isNotNull() & (F.col("path").rlike(LICENSE_NAME) | (F.col("license_words") >= LICENSE_SHARE * F.col("n_words")))), "license-own")

@@ -4,12 +4,13 @@ import collections
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import pytest
 
 from fixtures import prose, rows
-from larkspur.llm import dom, langid, lmscore
+from larkspur.llm import dom, langid, licenses, lmscore
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -77,3 +78,29 @@ def test_every_language_is_learned(spark):
     got = {x["doc_id"]: x for x in langid.identify_language(spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()}
     assert any(x["held_out"] for x in got.values())
     assert [(k, got[k]["lang_pred"]) for k, _, lang in table if got[k]["lang_pred"] != lang] == []
+
+
+def test_wrapped_notices_and_licence_files(spark):
+    wrap = lambda text, mark="": "\n".join(mark + x for x in textwrap.wrap(text, 50))
+    by_name = collections.defaultdict(list)
+    for name, text in licenses.TEMPLATES:
+        by_name[name].append(text)
+    longest = {name: max(texts, key=len) for name, texts in by_name.items()}
+    files = [(1, "s/a.py", "# Copyright 2020 someone\n#\n" + wrap(by_name["GPL-3.0"][1], "# ") + "\n#\n" + prose(1, 80)), (2, "t/b.c", prose(2, 30) + "\n\n" + wrap(by_name["AGPL-3.0"][0], " * ") + "\n\n" + prose(3, 60))]
+    files += [(10 + k, f"{name}/LICENSE", "Copyright (c) 2020 someone\n\n" + wrap(longest[name]).replace(". ", ".\n\n")) for k, name in enumerate(("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "LGPL-2.1"))]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string").repartition(2)).collect()}
+    assert [got[k]["license"] for k in (1, 2)] == ["GPL-3.0", "AGPL-3.0"]
+    assert [got[k]["license"] for k in range(10, 16)] == [f[1].split("/")[0] for f in files[2:]]
+    assert all(got[k]["is_license_file"] for k in range(10, 16)) and got[1]["n_lines"] > 1
+    # the cosine of every file's best line, with the document frequency of each word
+    lines = [re.findall("[a-z0-9]+", x.lower()) for _, _, t in files for x in t.split("\n")]
+    lines = [x for x in lines if x]
+    often = collections.Counter(w for x in lines for w in set(x))
+    vector = lambda ws: {w: n * (math.log((1 + len(lines)) / (1 + often[w])) + 1) for w, n in collections.Counter(ws).items()}
+    cosine = lambda a, b: sum(v * b.get(w, 0) for w, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    shapes = [vector(re.findall("[a-z0-9]+", t.lower())) for _, t in licenses.TEMPLATES]
+    for k, _, text in files[2:]:
+        rows_ = [re.findall("[a-z0-9]+", x.lower()) for x in text.split("\n")]
+        blocks = [re.findall("[a-z0-9]+", x.lower()) for x in re.split(r"\n\n+", text)]
+        best = max(cosine(vector(u), s) for u in [*rows_, *blocks, sum(rows_, [])] if len(set(u)) > 1 for s in shapes)
+        assert abs(best - got[k]["score"]) < 1e-6
