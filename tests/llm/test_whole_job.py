@@ -104,3 +104,29 @@ def test_wrapped_notices_and_licence_files(spark):
         blocks = [re.findall("[a-z0-9]+", x.lower()) for x in re.split(r"\n\n+", text)]
         best = max(cosine(vector(u), s) for u in [*rows_, *blocks, sum(rows_, [])] if len(set(u)) > 1 for s in shapes)
         assert abs(best - got[k]["score"]) < 1e-6
+
+
+def test_inheritance_against_brute_force(spark):
+    r = random.Random(5)
+    notices = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0."]
+    files = []
+    for k in range(60):
+        folder = "/".join(r.choice("ab") for _ in range(r.randint(0, 4)))
+        name = r.choice(["LICENSE", "x.txt", "y.txt", "z.txt"])
+        text = r.choice(notices) if name == "LICENSE" else r.choice(["", prose(k, 30), prose(k, 30) + "\n" + r.choice(notices)])
+        files.append((k, f"{folder}/{name}".lstrip("/"), text))
+    got = {x["doc_id"]: x for x in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    above = lambda path: path.rpartition("/")[0]
+    at = {}
+    for k, path, _ in files:
+        if got[k]["is_license_file"]:
+            at[above(path)] = max(at.get(above(path), (0, "")), (got[k]["score"], got[k]["license"]))
+    assert len(at) > 3
+    for k, path, text in files:
+        folder = above(path)
+        while folder not in at and folder:
+            folder = above(folder)
+        inherited = at.get(folder, (0, None))[1]
+        assert got[k]["is_license_file"] == path.endswith("LICENSE")
+        assert (got[k]["inherited"], got[k]["from_dir"]) == (inherited, folder if inherited else None)
+        assert got[k]["effective"] == (got[k]["license"] or inherited)
