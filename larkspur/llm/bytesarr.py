@@ -32,12 +32,12 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_chunks(offsets: np.ndarray, target: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Consecutive row ranges of about ``target`` bytes; a longer row stands alone."""
+def row_chunks(offsets: np.ndarray, target: int = 1 << 20, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Consecutive row ranges of about ``target`` bytes and at most ``rows`` rows; a longer row stands alone."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + target, side="right")) - 1
-        last = min(n, max(first + 1, last))
+        last = min(n, first + rows, max(first + 1, last))
         yield first, last
         first = last
 
@@ -53,6 +53,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes whose words are hashed at once.
+SPAN = 1 << 19
 
 
 def _powers(base: np.uint64, n: int, have: dict = {}) -> np.ndarray:  # noqa: B006  a cache
@@ -82,10 +84,16 @@ def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np
     cut[edge] = True
     starts = np.flatnonzero(inside & (~before | cut))
     ends = np.flatnonzero(before & (~inside | cut))
-    code = BYTE_CODE[_LOWER[buf] if lower else buf]
-    power, inverse = _powers(BASE, n + 1), _powers(BASE_INVERSE, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(code * power[:n], out=total[1:])
-    hashed = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    hashed = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):  # sums of eight bytes for each byte are made for one span at a time
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + SPAN, side="right")))
+        lo, hi = starts[first], ends[last - 1]
+        part = buf[lo:hi]
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(BYTE_CODE[_LOWER[part] if lower else part] * _powers(BASE, hi - lo), out=total[1:])
+        begin, end = starts[first:last] - lo, ends[first:last] - lo
+        hashed[first:last] = mix((total[end] - total[begin]) * _powers(BASE_INVERSE, hi - lo)[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        first = last
     per_row = np.diff(np.searchsorted(starts, offsets))
     return hashed, np.repeat(np.arange(rows), per_row), per_row

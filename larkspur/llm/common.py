@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
 #: ASCII white space, as a Java pattern.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -63,10 +65,14 @@ def _ship(application: str, add: Callable[[str], None]) -> None:
 
 
 def with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query, for sessions whose Python workers may lack this package: its source is sent to them once."""
+    """The query, for sessions whose Python workers may lack this package: its source is sent to them once.
+
+    Arrow batches that go to Python workers are bounded by bytes, so that long texts don't add up in one.
+    """
 
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         _ship(spark.sparkContext.applicationId, spark.sparkContext.addPyFile)
         return query(spark, sf_dir)
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -11,6 +12,7 @@ import pytest
 
 from fixtures import SCHEMA, prose, rows
 from larkspur.llm import dedup, htmltext, jaccard, langid, licenses, lmscore, mixing, quality, sharding
+from larkspur.llm.components import components
 from larkspur.llm.decontaminate import decontaminate, proximity_matches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,13 +75,34 @@ def test_jaccard(docs, none):
 
 
 def test_jaccard_large_group_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "PIECE", 4)
-    base = prose(9, 200).split()
-    many = [(k, " ".join([*base[: 3 * k], "new", *base[3 * k + 1 :]])) for k in range(30)]
+    monkeypatch.setattr(jaccard, "PIECE_ROWS", 7)
+    monkeypatch.setattr(jaccard, "PART", 5)
+    base, pick = prose(9, 150).split(), random.Random(3)
+    many = []
+    for k in range(60):
+        words = list(base)
+        for j in pick.sample(range(150), k % 10):
+            words[j] = f"new{k}x{j}"
+        many.append((k, " ".join(words)))
     got = {r["doc_id"]: r for r in jaccard.near_duplicates(spark.createDataFrame(many, "doc_id long, text string")).collect()}
-    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in many]
-    for k in range(30):
-        assert got[k]["class_id"] == 0 and got[k]["n_links"] == sum(5 * len(sets[k] & s) >= 4 * len(sets[k] | s) for s in sets) - 1
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in many]
+    linked = [[b for b in range(60) if a != b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])] for a in range(60)]
+    least = list(range(60))
+    for _ in range(60):
+        least = [min([least[a], *[least[b] for b in linked[a]]]) for a in range(60)]
+    assert any(len(x) == 0 for x in linked) and len(set(map(len, linked))) > 5
+    assert [(got[k]["class_id"], got[k]["n_links"]) for k in range(60)] == [(least[k], len(linked[k])) for k in range(60)]
+
+
+def test_components(spark):
+    pick = random.Random(5)
+    edges = [(k, k + 1) for k in range(40)] + [(pick.randrange(100, 160), pick.randrange(100, 160)) for _ in range(40)] + [(7, 7)]
+    least = {k: k for e in edges if e[0] != e[1] for k in e}
+    for _ in range(60):
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert dict(components(spark.createDataFrame(edges, "a long, b long")).collect()) == least
 
 
 def test_decontaminate(spark, docs, none):
