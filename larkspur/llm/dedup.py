@@ -18,12 +18,12 @@ from .suffixes import GRAM, anchors, kasai, suffix_array
 #: Bytes of a passage that counts as repeated.
 LENGTH = 200
 #: Starts that are looked at together; the LENGTH - PIECE + 1 bytes in the middle are common to all their passages.
-PIECE = 32
+PIECE = 64
 CORE = LENGTH - PIECE + 1
 #: Pieces of one suffix array.
-SHARD_PIECES = 8192
+SHARD_PIECES = 4096
 #: A core that more different pieces share is spread over several shards.
-SPREAD = 8192
+SPREAD = 4096
 
 REF = "core long, piece long, th long, start int, n int"
 
@@ -109,14 +109,14 @@ def passage_classes(data: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """
     buf, offsets = column_bytes(data)
     n = np.diff(offsets)
-    symbols = np.zeros(len(buf) + len(n), np.int64)  # a zero after each piece, which no byte equals
+    symbols = np.zeros(len(buf) + len(n), np.uint8)  # a zero after each piece, which no byte equals
     starts = offsets[:-1] + np.arange(len(n))
     row = np.repeat(np.arange(len(n)), n)
     at = np.arange(len(buf)) + row
-    symbols[at] = buf.astype(np.int64) + 1  # UTF-8 has no byte 255
+    symbols[at] = buf + np.uint8(1)  # UTF-8 has no byte 255
     order = suffix_array(symbols, LENGTH + PIECE)
     common = kasai(symbols, order, starts, starts + n, LENGTH)
-    rank = np.empty(len(symbols), np.int64)
+    rank = np.empty(len(symbols), np.int32)
     rank[order] = np.cumsum(common[order] < LENGTH)
     place = at - starts[row]
     whole = place + LENGTH <= n[row]
@@ -180,15 +180,21 @@ def _sorted_run(table: pa.Table) -> pa.Table:
 
 
 def _merge_runs(table: pa.Table) -> pa.Table:
-    """Starts whose passage is repeated in their run or, by binary search, in another run of the same core."""
-    passage, run, core, piece, place, th, at, copies = _columns(table, "passage", "run", "core", "piece", "place", "th", "at", "copies")
+    """Passages of a core that stand at two places or more, in one run or, by binary search, in several.
+
+    A run gives one row for each of its passages, with the first and last place in it.
+    """
+    passage, run, core, copies = _columns(table, "passage", "run", "core", "copies")
     every = np.unique(passage)
     group = np.empty(len(passage), np.int64)
     for one in np.unique(run):
         mine = run == one
         group[mine] = np.searchsorted(every, passage[mine])
-    twice = repeated(group, core, th, at.astype(np.int64), copies)
-    return pa.table({"core": core[twice], "piece": piece[twice], "lo": place[twice], "hi": place[twice]})
+    first, last = table.column("first").combine_chunks(), table.column("last").combine_chunks()
+    th, at = (np.concatenate([x.field(c).to_numpy() for x in (first, last)]).astype(np.int64) for c in ("th", "at"))
+    twice = repeated(np.tile(group, 2), np.tile(core, 2), th, at, np.tile(copies, 2))
+    twice = twice[: len(passage)] | twice[len(passage) :]
+    return pa.table({"core": core[twice], "passage": passage[twice]})
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +248,11 @@ def repeated_spans(candidates: DataFrame) -> DataFrame:
     few = data.filter(F.col("kinds") <= SPREAD).withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(shards))).groupBy("shard").applyInArrow(_shard, "core long, piece long, lo int, hi int")
     parts = F.pmod(F.xxhash64("piece"), F.ceil(F.col("kinds") / SPREAD))
     many = data.filter(F.col("kinds") > SPREAD).withColumn("run", F.xxhash64("core", parts)).groupBy("run").applyInArrow(_sorted_run, RUN)
-    merged = many.groupBy(F.pmod(F.col("passage"), F.lit(shards)).cast("int")).applyInArrow(_merge_runs, "core long, piece long, lo int, hi int")
+    many = stored(many, "dedup-runs")
+    place = F.struct("th", "at")
+    kinds = many.groupBy("run", "core", "passage").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("copies").alias("copies"))
+    twice = kinds.groupBy(F.pmod(F.col("passage"), F.lit(shards)).cast("int")).applyInArrow(_merge_runs, "core long, passage long").distinct()
+    merged = many.join(stored(twice, "dedup-merged").hint("merge"), ["core", "passage"]).select("core", "piece", F.col("place").alias("lo"), F.col("place").alias("hi"))
     part = stored(few.unionByName(merged), "dedup-ranges").select("core", "piece", "lo", "hi")
     whole = pieces.filter("copies > 1").select("core", "piece", F.lit(0).alias("lo"), F.lit(-1).alias("hi"))
     last = F.when(F.col("hi") < 0, F.col("n")).otherwise(F.col("hi") + LENGTH)
@@ -254,8 +264,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Removes each byte covered by a LENGTH-byte string that starts anywhere else too, in the same document or another.
     Texts that occur several times are looked at once; such documents lose everything if they are long enough. A null
-    text counts as empty; a text under LENGTH bytes keeps all. Repeated rows are copies. Other columns are ignored; an
-    empty table gives an empty result.
+    text counts as empty; a text under LENGTH bytes keeps all. Repeated rows are copies. All places of a passage go alike,
+    so there are no ties to break. A long text is taken whole: it needs about 60 bytes for each of its bytes in the task
+    that scans it, and its pieces go to suffix arrays of their own. Other columns are ignored; an empty table gives an
+    empty result.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t", F.octet_length("t")))
     candidates = stored(candidate_texts(slim.filter(F.octet_length("t") >= LENGTH).select("th", "t")), "dedup-texts")

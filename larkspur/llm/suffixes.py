@@ -55,23 +55,25 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     doubled distance ahead, until ``depth``; sorted groups are left alone. Equal suffixes stay in the order of places.
     """
     n = len(symbols)
-    order = np.arange(n)
+    order = np.arange(n, dtype=np.int32)
     if not n:
         return order
-    places = np.arange(n)
+    places = np.arange(n, dtype=np.int32)
     ends = symbols == 0
-    stop = np.minimum.accumulate(np.where(ends, places, n)[::-1])[::-1]  # of each place, the end of its piece
+    stop = np.minimum.accumulate(np.where(ends, places, np.int32(n))[::-1])[::-1]  # of each place, the end of its piece
     key = np.zeros(n, np.uint64)
-    padded = np.append(symbols, np.zeros(8, symbols.dtype)).astype(np.uint64)
+    padded = np.append(symbols, np.zeros(8, symbols.dtype))
     alive = np.ones(n, bool)
     for k in range(8):
         alive &= padded[k : k + n] != 0
-        key = (key << np.uint64(8)) | np.where(alive, padded[k : k + n], np.uint64(0))
-    order = np.argsort(key, kind="stable")
+        key <<= np.uint64(8)
+        key |= np.where(alive, padded[k : k + n], 0).astype(np.uint64)
+    order = np.argsort(key, kind="stable").astype(np.int32)
     key = key[order]
     head = np.ones(n, bool)
     np.not_equal(key[1:], key[:-1], out=head[1:])
-    rank = np.zeros(n + 1, np.int64)
+    del key, padded, alive
+    rank = np.zeros(n + 1, np.int32)
     rank[order] = np.maximum.accumulate(np.where(head, places, 0)) + 1
     rank[:n][ends] = 0
     h = 8
@@ -80,7 +82,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         if not len(slots):
             break
         members = order[slots]
-        pair = rank[members] * (n + 1) + rank[np.minimum(members + h, stop[members])]
+        pair = rank[members].astype(np.int64) * (n + 1) + rank[np.minimum(members + h, stop[members])]
         by = np.argsort(pair, kind="stable")
         pair, members = pair[by], members[by]
         order[slots] = members
@@ -100,10 +102,10 @@ def kasai(symbols: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.n
     [starts, ends) at once, one lane each.
     """
     n = len(symbols)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    out = np.zeros(n, np.int64)
-    padded = np.append(symbols, [0])
+    out = np.zeros(n, np.int16)
+    padded = np.append(symbols, np.zeros(1, symbols.dtype))
     at, stop = starts.copy(), ends.copy()
     have = np.zeros(len(at), np.int64)
     live = at < stop
