@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,11 @@ from .bytesarr import BASE, column_bytes, mix, words
 from .common import id_text, stored
 
 #: Bytes of text of the documents that are counted together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Words of the longest n-grams.
 ORDER = 2
-DISCOUNT = 0.5
+#: Weight of the shorter n-gram's estimate, in tokens: a state seen n times passes PRIOR / (n + PRIOR) to its failure arc.
+PRIOR = 4.0
 #: Stands for the end of a text.
 END = np.uint64(0)
 
@@ -30,10 +32,6 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, at, END), np.insert(rows, at, np.arange(len(per_row)))
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 def _grams(hashes: np.ndarray, rows: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each number of words from 2: the tokens that end such an n-gram, the n-grams' hashes and those of their contexts.
 
@@ -56,116 +54,117 @@ def _counted(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nd
     return types, first, which, np.bincount(which, weights=weights, minlength=len(types)).astype(np.int64)
 
 
-def _block_counts(table: pa.Table, order: int = ORDER) -> pa.Table:
-    """(gram, context, words, block, n): every distinct n-gram of a block and how often its training documents have it."""
-    train = table.column("train").to_numpy(zero_copy_only=False).astype(np.float64)
+def pack(values: np.ndarray) -> bytes:
+    """Eight-byte numbers byte plane by byte plane, so that planes of zeros compress to nothing."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _all_grams(hashes: np.ndarray, rows: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As _grams, from single tokens on, whose context is of no use."""
+    yield np.arange(len(hashes)), hashes, hashes
+    yield from _grams(hashes, rows, order)
+
+
+COUNTS = "block int, words int, part int, grams binary, n binary"
+
+
+def _block_counts(table: pa.Table, order: int, bits: int) -> pa.Table:
+    """Every distinct n-gram of a block and how often its training documents have it, in 2^bits parts by the n-gram's
+    first bits. A part's n-grams are in order and given by their differences."""
+    train = table.column("train").to_numpy(zero_copy_only=False)
     hashes, rows = _tokens(table.column("t").combine_chunks())
     block = table.column("block")[0].as_py()
-    parts = []
-    for k, (at, grams, context) in enumerate([(np.arange(len(hashes)), hashes, np.zeros(len(hashes), np.uint64)), *_grams(hashes, rows, order)], 1):
-        types, first, _, n = _counted(grams, train[rows[at]])
-        parts.append(pa.table({"gram": _signed(types), "context": _signed(context[first]), "words": np.full(len(types), k, np.int32), "block": np.full(len(types), block, np.int32), "n": n.astype(np.int32)}))
-    return pa.concat_tables(parts)
+    out = []
+    for k, (at, grams, _) in enumerate(_all_grams(hashes, rows, order), 1):
+        types, _, _, n = _counted(grams, train[rows[at]])
+        cuts = np.searchsorted(types >> np.uint64(64 - bits), np.arange(1, 2**bits, dtype=np.uint64))
+        for part, (mine, times) in enumerate(zip(np.split(types, cuts), np.split(n, cuts), strict=True)):
+            if len(mine):
+                out.append((block, k, part, pack(np.diff(mine, prepend=np.uint64(0))), pack(times)))
+    return pa.table(list(zip(*out, strict=True)), names=["block", "words", "part", "grams", "n"]).cast(pa.schema([("block", pa.int32()), ("words", pa.int32()), ("part", pa.int32()), ("grams", pa.binary()), ("n", pa.binary())]))
 
 
-def _merge_counts(table: pa.Table) -> pa.Table:
-    """Sums the counts of a range of n-grams.
+TOTALS = "block int, words int, part int, totals binary, types long, tokens long"
 
-    Gives (block, words, gram, n) for each block that has an n-gram which other blocks have too. Rows of words 0 have a
-    context and in how many different n-grams of the range it is followed; one row of words -1 has the numbers of types
-    and tokens of the range.
-    """
-    gram = table.column("gram").to_numpy()
-    block = table.column("block").to_numpy()
-    words_ = table.column("words").to_numpy()
-    types, first, which, total = _counted(gram, table.column("n").to_numpy())
-    back = ((np.bincount(which, minlength=len(types)) > 1) & (total > 0))[which]
-    known, single = total > 0, words_[first] == 1
-    context, follows = np.unique(table.column("context").to_numpy()[first][known & ~single], return_counts=True)
-    single &= known
+
+def _merge_counts(table: pa.Table) -> pa.Table:
+    """Sums the counts of one part of the n-grams of one length. Each block gets the totals of its n-grams, in their order;
+    a row of block -1 has how many types the training documents have there, and how many tokens."""
+    lists = [np.cumsum(unpack(x.as_py())) for x in table.column("grams")]
+    types, which = np.unique(np.concatenate(lists), return_inverse=True)
+    sizes = np.cumsum([len(x) for x in lists])[:-1]
+    del lists
+    n = np.concatenate([unpack(x.as_py()) for x in table.column("n")])
+    total = np.bincount(which, weights=n, minlength=len(types)).astype(np.int64)
+    back = [pack(x) for x in np.split(total[which], sizes)]
+    zero = [0] * len(back)
     return pa.table({
-        "block": pa.array(np.concatenate([block[back], np.full(len(context) + 1, -1)]), pa.int32()),
-        "words": pa.array(np.concatenate([words_[back], np.zeros(len(context)), [-1]]).astype(np.int32), pa.int32()),
-        "gram": np.concatenate([gram[back], context, [int(single.sum())]]).astype(np.int64),
-        "n": np.concatenate([total[which][back], follows, [int(total[single].sum())]]).astype(np.int64),
+        "block": pa.array([*table.column("block").to_pylist(), -1], pa.int32()), "words": pa.array([*table.column("words").to_pylist(), table.column("words")[0].as_py()], pa.int32()),
+        "part": pa.array([*table.column("part").to_pylist(), 0], pa.int32()), "totals": pa.array([*back, None], pa.binary()),
+        "types": pa.array([*zero, int((total > 0).sum())], pa.int64()), "tokens": pa.array([*zero, int(total.sum())], pa.int64()),
     })
 
 
-def _replace(types: np.ndarray, values: np.ndarray, keys: np.ndarray, new: np.ndarray) -> None:
-    """Puts ``new`` where ``types``, sorted, has ``keys``."""
-    if len(types) and len(keys):
-        at = np.minimum(np.searchsorted(types, keys), len(types) - 1)
-        hit = types[at] == keys
-        values[at[hit]] = new[hit]
-
-
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document.
 
     Documents whose crc32(id) mod 5 is not 1 are the training part. Tokens are words of anything but ASCII white space,
     A-Z lower-cased, and an end; they and all n-grams of up to ``order`` of them are counted exactly over all training
     documents, none is dropped. Documents are dealt to blocks by a hash. Each block counts its n-grams; counts are summed
-    by n-gram; and only totals of n-grams that several blocks have go back to these blocks, which know the others.
-    N-grams are told apart by 64-bit hashes.
+    by n-gram, in parts by its hash; and each block gets the totals of its n-grams back, in the order in which it has
+    them. N-grams are told apart by 64-bit hashes. A part's task holds one entry of a common n-gram for each block, so
+    ``block_bytes`` should grow with the corpus (64 MB for 100 TB makes 1.6 million entries); a block takes about 100
+    bytes of memory for each of its words, as does a single longer text.
 
-    score is the walk of a weighted backoff automaton whose states are the n-grams: the arc of a state h for w has
-    max(n(hw) - DISCOUNT, 0) / n(h) plus the backed-off rest, DISCOUNT x (different followers of h) / n(h) times what the
-    state without h's first word gives. A state that the training part has not backs off at no cost.
+    score is the walk of a weighted backoff automaton whose states are the n-grams: a state h, seen n(h) times, has an arc
+    for each w after it with n(hw) / (n(h) + PRIOR), and a failure arc to the state without h's first word with
+    PRIOR / (n(h) + PRIOR); w's probability is the sum of both ways. A state that the training part has not fails at no
+    cost. Scores don't depend on how rows are dealt.
 
     A null or empty text has the end alone. Without training documents every count is 0. Repeated rows are scored each
-    (and counted each); other columns are ignored; an empty table gives an empty result.
+    (and counted each); there are no ties to break; other columns are ignored; an empty table gives an empty result.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), (F.crc32(id_text(F.col(doc_id))) % 5 != 1).alias("train"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(size * order / block_bytes))
+    blocks = max(1, math.ceil(size / block_bytes))
+    bits = math.ceil(math.log2(blocks)) + 1
     dealt = source.withColumn("block", F.pmod(F.xxhash64(id_text(F.col("doc_id")), F.coalesce("t", F.lit(""))), F.lit(blocks)).cast("int"))
-    ranges = max(1, 2 * blocks)
-    counts = dealt.groupBy("block").applyInArrow(lambda table: _block_counts(table, order), "gram long, context long, words int, block int, n int")
-    merged = stored(counts.groupBy(F.pmod(F.col("gram"), F.lit(ranges)).cast("int")).applyInArrow(_merge_counts, "block int, words int, gram long, n long"), "lm-counts")
-    row = merged.filter("words = -1").agg(F.coalesce(F.sum("gram"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counts = dealt.groupBy("block").applyInArrow(lambda table: _block_counts(table, order, bits), COUNTS)
+    merged = stored(counts.groupBy("words", "part").applyInArrow(_merge_counts, TOTALS), "lm-counts")
+    row = merged.filter("block = -1 and words = 1").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     types, total = int(row[0]), int(row[1])
     kind = source.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def score(texts: pa.Table, totals: pa.Table) -> pa.Table:
-        column = texts.column("t").combine_chunks() if texts.num_rows else pa.array([], pa.string())
-        train = texts.column("train").to_numpy(zero_copy_only=False).astype(np.float64)
-        hashes, rows = _tokens(column)
-        length = totals.column("words").to_numpy()
-        gram, n, follows = (totals.column(k).to_numpy() for k in ("gram", "n", "follows"))
-        known, _, which, count = _counted(hashes, train[rows])
-        _replace(known, count, gram[length == 1].view(np.uint64), n[length == 1])
-        likely = ((count + 0.5) / (total + 0.5 * (types + 1)))[which]
-        n_rows = len(column)
-        seen, unigram = count[which] > 0, np.log10(likely)
-        for k, (at, grams, context) in enumerate(_grams(hashes, rows, order), 2):
-            longer, first, place, joint = _counted(grams, train[rows[at]])
-            mine = joint > 0
-            _replace(longer, joint, gram[length == k].view(np.uint64), n[length == k])
-            # contexts of one block have all their n-grams there; the others' followers come with the totals
-            states, state = np.unique(context, return_inverse=True)
-            after = np.bincount(state[first], weights=mine, minlength=len(states))
-            _replace(states, after, gram[length == k - 1].view(np.uint64), follows[length == k - 1])
-            times = np.zeros(len(states))
-            _replace(states, times, known, count)
-            times, after = times[state], after[state]
-            good = times > 0
-            share = np.maximum(joint[place] - DISCOUNT, 0) / np.maximum(times, 1)
-            likely[at] = np.where(good, share + DISCOUNT * after / np.maximum(times, 1) * likely[at], likely[at])
-            known, count = longer, joint
-        walked = np.log10(likely)
+        hashes, rows = _tokens(texts.column("t").combine_chunks())
+        length, part = (totals.column(c).to_numpy() for c in ("words", "part"))
+        n_rows = texts.num_rows
         add = lambda x: np.bincount(rows, weights=x, minlength=n_rows)
+        for k, (at, grams, context) in enumerate(_all_grams(hashes, rows, order), 1):
+            mine = np.flatnonzero(length == k)
+            count = np.concatenate([np.zeros(0, np.uint64), *(unpack(totals.column("totals")[int(x)].as_py()) for x in mine[np.argsort(part[mine])])]).astype(np.float64)
+            now, which = np.unique(grams, return_inverse=True)
+            if k == 1:
+                likely = ((count + 0.5) / (total + 0.5 * (types + 1)))[which]
+                seen, unigram = add(count[which] > 0), add(np.log10(likely))
+            else:
+                # each context is an n-gram of the block too, one word shorter
+                times = before[np.searchsorted(known, context)]
+                likely[at] = np.where(times > 0, (count[which] + PRIOR * likely[at]) / (times + PRIOR), likely[at])
+            known, before = now, count
+        train = texts.column("train").to_numpy(zero_copy_only=False)
         return pa.table([
-            texts.column("doc_id"), pa.array(~train.astype(bool), pa.bool_()), pa.array(np.bincount(rows, minlength=n_rows), pa.int64()), pa.array(add(seen).astype(np.int64)),
-            pa.array(np.full(n_rows, total), pa.int64()), pa.array(add(unigram)), pa.array(add(walked)),
+            texts.column("doc_id"), pa.array(~train.astype(bool), pa.bool_()), pa.array(np.bincount(rows, minlength=n_rows), pa.int64()), pa.array(seen.astype(np.int64)),
+            pa.array(np.full(n_rows, total), pa.int64()), pa.array(unigram), pa.array(add(np.log10(likely))),
         ], names=names)
 
-    follows = merged.filter("words = 0").groupBy("gram").agg(F.sum("n").alias("follows"))
-    back = merged.filter("words > 0").select("block", "words", "gram", "n")
-    states = back.filter(F.col("words") < order).join(follows, "gram", "left").select("block", "words", "gram", "n", F.coalesce("follows", F.lit(0)).alias("follows"))
-    right = states.unionByName(back.filter(F.col("words") == order).withColumn("follows", F.lit(0).cast("long"))) if order > 1 else back.withColumn("follows", F.lit(0).cast("long"))
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(score, schema)
+    return dealt.groupBy("block").cogroup(merged.filter("block >= 0").groupBy("block")).applyInArrow(score, schema)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,19 +16,17 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute_lm(texts, order):
-    """log10 of each text by interpolated absolute discounting over all n-grams of its training part."""
+    """log10 of each text, n-grams smoothed by PRIOR tokens of the shorter one, over all n-grams of its training part."""
     tokens = [[w.lower() for w in WORD.findall(t or "")] + [""] for _, t in texts]
     train = [zlib.crc32(str("" if i is None else i).encode()) % 5 != 1 for i, _ in texts]
-    n, after = collections.Counter(), collections.defaultdict(set)
+    n = collections.Counter()
     for ts, yes in zip(tokens, train):
         for k in range(len(ts)):
             if yes:
                 n[(ts[k],)] += 1
             for size in range(2, order + 1):
                 if yes and k >= size - 2:
-                    gram = tuple(["", *ts][k + 2 - size : k + 2])
-                    n[gram] += 1
-                    after[gram[:-1]].add(gram[-1])
+                    n[tuple(["", *ts][k + 2 - size : k + 2])] += 1
     single = [c for g, c in n.items() if len(g) == 1]
     out = []
     for ts in tokens:
@@ -38,7 +36,7 @@ def brute_lm(texts, order):
             for size in range(2, order + 1):
                 h = tuple(["", *ts][k + 2 - size : k + 1])
                 if k >= size - 2 and n[h]:
-                    p = max(n[(*h, w)] - 0.5, 0) / n[h] + 0.5 * len(after[h]) / n[h] * p
+                    p = (n[(*h, w)] + lmscore.PRIOR * p) / (n[h] + lmscore.PRIOR)
             score += math.log10(p)
         out.append(score)
     return out
