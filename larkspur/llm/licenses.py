@@ -65,8 +65,6 @@ TEMPLATES = (
 COMMENT = r"^\s*(?:#|//|/\*|\*|--|;|%|<!--|\"\"\"|'''|(?i:rem)\b)"
 #: Least cosine of a line with a template.
 THRESHOLD = 0.7
-#: Least different words of the templates in a line that is compared.
-SHARED_WORDS = 2
 #: A file is a licence file if its name says so or if licence lines hold this share of its words.
 LICENSE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 LICENSE_SHARE = 0.5
@@ -109,27 +107,55 @@ def _units(path: Column) -> Column:
     return F.array_distinct(F.concat(single, runs(lambda raw, words: F.size(words) > 0), runs(lambda raw, words: raw.rlike(COMMENT)), F.coalesce(whole, F.array().cast("array<struct<line:int,last:int,w:array<string>>>"))))
 
 
+def needed_words(weights: dict[int, dict[str, float]], threshold: float) -> list[str]:
+    """Words of which a unit must have one to reach the threshold with any template, by the templates' unit vectors.
+
+    Without its heaviest words a template has too little length left for that cosine.
+    """
+    out = set()
+    for vector in weights.values():
+        left = 1.0
+        for word, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+            if left < threshold**2 - 1e-9:
+                break
+            left -= w * w
+            out.add(word)
+    return sorted(out)
+
+
+def line_counts(lines: DataFrame, words: DataFrame | list[str]) -> DataFrame:
+    """(word, n): in how many lines each of the words stands; '' counts the lines that have any word."""
+    seen = lines.select(F.explode("lines").alias("x")).filter(F.size("x") > 0)
+    if isinstance(words, list):
+        kept = F.array_distinct(F.filter("x", lambda w: w.isin(words)))
+        seen = seen.select(F.explode(F.concat(F.array(F.lit("")), kept)).alias("word"))
+    else:
+        seen = seen.select(F.explode(F.array_distinct("x")).alias("word")).join(words, "word", "left_semi")
+    return seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
 def license_lines(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(key, line, last, license, score, sizes, n_words) of the units of (key, t, path) whose best template reaches the threshold.
 
     Units are lines, blocks and whole licence files (see _units). Weights are tf x idf; idf is ln((1 + lines) / (1 + lines
-    with the word)) + 1 over all lines of all files, for every word. Ties go to the first template. Units are compared
-    with the templates, a fixed list of few, through shared words only. As no idf is under 1, a unit's cosine is at most
-    the share of its length that words of the templates have if all others had idf 1, so units for which that falls short
-    of the threshold go before any shuffle. sizes are the words of each line, n_words those of the whole file.
+    with the word)) + 1 over all lines of all files. Ties go to the first template. Two exact bounds drop units before
+    any shuffle: one of the heaviest words of a template is needed (needed_words), and, as no idf is under 1, a unit's
+    cosine is at most the share of its length that words of the templates have if all others had idf 1. Lines are
+    counted for the words of the templates and of the units that are left; equal units are compared once. sizes are the
+    words of each line, n_words those of the whole file.
     """
     spark = files.sparkSession
     counts = template_words(templates)
     words = sorted({w for c in counts.values() for w in c})
     lines = files.select("key", "path", F.split("t", "\n").alias("raw")).withColumn("lines", F.transform("raw", line_words))
-    seen = lines.select(F.explode(F.filter("lines", lambda x: F.size(x) > 0)).alias("x")).select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("x"))).alias("word"))
-    seen = stored(seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "license-words")
-    frequency = {r["word"]: r["n"] for r in seen.filter(F.col("word").isin(["", *words])).collect()}  # as many as the templates have words
+    frequency = {r["word"]: r["n"] for r in line_counts(lines, words).collect()}  # as many as the templates have words
     total = frequency.pop("", 0)
     idf_of = {w: math.log((1 + total) / (1 + frequency.get(w, 0))) + 1 for w in words}
     weights = F.from_json(F.lit(json.dumps(idf_of)), "map<string,double>")
     norms = {k: math.sqrt(sum((n * idf_of[w]) ** 2 for w, n in c.items())) for k, c in counts.items()}
-    shape = json.dumps([{"word": w, "template": k, "license": templates[k][0], "weight": n * idf_of[w] / norms[k]} for k, c in counts.items() for w, n in c.items()])
+    vectors = {k: {w: n * idf_of[w] / norms[k] for w, n in c.items()} for k, c in counts.items()}
+    needed = needed_words(vectors, threshold)
+    shape = json.dumps([{"word": w, "template": k, "license": templates[k][0], "weight": x} for k, v in vectors.items() for w, x in v.items()])
     shape = stored(spark.range(1).select(F.explode(F.from_json(F.lit(shape), "array<struct<word:string,template:int,license:string,weight:double>>")).alias("r")).select("r.*").coalesce(1), "license-templates")
 
     def may_match(u: Column) -> Column:
@@ -137,21 +163,25 @@ def license_lines(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
         outside = F.size(u["w"]) - F.size(known)
         inside = F.aggregate(F.array_distinct(known), F.lit(0.0), lambda sum_, w: sum_ + (F.size(F.filter(known, lambda x: x == w)) * F.element_at(weights, w)) ** 2)
         least = threshold**2 * (1 - 1e-6)
-        # the distinct words of the templates are few, so the cheap test comes first
-        return (F.size(F.array_distinct(known)) >= SHARED_WORDS) & (inside * (1 - least) >= least * outside)
+        # the heaviest words are few, so the cheap test comes first
+        return F.exists(u["w"], lambda w: w.isin(needed)) & (inside * (1 - least) >= least * outside)
 
     sizes = F.transform("lines", lambda x: F.size(x))
-    close = lines.select("key", F.aggregate("lines", F.lit(0), lambda n, x: n + F.size(x)).alias("n_words"), sizes.alias("sizes"), F.filter(_units(F.col("path")), may_match).alias("c")).filter(F.size("c") > 0)
+    near = files.filter(F.exists(line_words(F.col("t")), lambda w: w.isin(needed)))
+    near = near.select("key", "path", F.split("t", "\n").alias("raw")).withColumn("lines", F.transform("raw", line_words))
+    close = near.select("key", F.aggregate("lines", F.lit(0), lambda n, x: n + F.size(x)).alias("n_words"), sizes.alias("sizes"), F.filter(_units(F.col("path")), may_match).alias("c")).filter(F.size("c") > 0)
     close = close.select("key", "n_words", "sizes", F.explode("c").alias("c")).select("key", "n_words", "c.line", "c.last", "c.w", F.slice("sizes", F.col("c.line") + 1, F.col("c.last") - F.col("c.line") + 1).alias("sizes"))
-    close = stored(close.dropDuplicates(["key", "line", "last"]), "license-lines")
-    tf = close.select("key", "line", "last", F.explode("w").alias("word")).groupBy("key", "line", "last", "word").agg(F.count(F.lit(1)).alias("tf"))
+    close = stored(close.withColumn("unit", F.xxhash64(F.array_join("w", " "))).dropDuplicates(["key", "line", "last"]), "license-lines")
+    tf = close.groupBy("unit").agg(F.first("w").alias("w")).select("unit", F.explode("w").alias("word")).groupBy("unit", "word").agg(F.count(F.lit(1)).alias("tf"))
+    tf = stored(tf, "license-terms")
+    seen = line_counts(lines, stored(tf.select("word").distinct(), "license-vocabulary"))
     idf = seen.select("word", (F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("n"))) + 1).alias("idf"))
-    weighted = stored(tf.join(idf, "word").select("key", "line", "last", "word", (F.col("tf") * F.col("idf")).alias("v")), "license-weights")
-    norm = weighted.groupBy("key", "line", "last").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("norm"))
-    dots = weighted.join(F.broadcast(shape), "word").groupBy("key", "line", "last", "template", "license").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
-    scored = dots.join(norm, ["key", "line", "last"]).select("key", "line", "last", "license", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
-    best = scored.groupBy("key", "line", "last").agg(F.max(F.struct("score", -F.col("template"), "license")).alias("b"))
-    return close.drop("w").join(best, ["key", "line", "last"]).select("key", "n_words", "line", "last", "sizes", F.col("b.license").alias("license"), F.col("b.score").alias("score"))
+    weighted = stored(tf.join(idf, "word").select("unit", "word", (F.col("tf") * F.col("idf")).alias("v")), "license-weights")
+    norm = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("norm"))
+    dots = weighted.join(F.broadcast(shape), "word").groupBy("unit", "template", "license").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
+    scored = dots.join(norm, "unit").select("unit", "license", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
+    best = stored(scored.groupBy("unit").agg(F.max(F.struct("score", -F.col("template"), "license")).alias("b")), "license-best")
+    return close.drop("w").join(best, "unit").select("key", "n_words", "line", "last", "sizes", F.col("b.license").alias("license"), F.col("b.score").alias("score"))
 
 
 def scan_licenses(files: DataFrame, doc_id: str = "doc_id", text: str = "text", path: Column | str = "path", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -162,8 +192,8 @@ def scan_licenses(files: DataFrame, doc_id: str = "doc_id", text: str = "text",
     directory (several: the best score, then the name). A file without a licence of its own inherits from the nearest
     directory at or above its own that has one. Directories are joined by path, each directory once.
 
-    A null text has no lines, a null path is ''. Repeated rows are kept. Other columns are ignored; an empty table gives
-    an empty result.
+    A null text has no lines, a null path is ''. A long text is taken whole, in one row's arrays. Ids may be of any type.
+    Repeated rows are kept. Other columns are ignored; an empty table gives an empty result.
     """
     where = F.coalesce((F.col(path) if isinstance(path, str) else path).cast("string"), F.lit(""))
     named = files.select(F.col(doc_id).alias("doc_id"), where.alias("path"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -187,10 +217,11 @@ def scan_licenses(files: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files named source / id in thousands / id."""
+    """Documents as files named source / id in thousands / id; ids that are no numbers go to folders by a hash."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return scan_licenses(docs, path=path)
+    number = F.expr("floor(try_cast(doc_id as bigint) / 1000)")
+    folder = F.coalesce(number, F.pmod(F.crc32(id_text(F.col("doc_id"))), F.lit(1000))).cast("string")
+    return scan_licenses(docs, path=F.concat_ws("/", F.coalesce("source", F.lit("none")), folder, F.concat(id_text(F.col("doc_id")), F.lit(".txt"))))
 
 
 SQL: dict[str, str] = {}  # tested against brute force
