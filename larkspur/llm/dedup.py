@@ -21,9 +21,11 @@ LENGTH = 200
 PIECE = 64
 CORE = LENGTH - PIECE + 1
 #: Pieces of one suffix array.
-SHARD_PIECES = 4096
+SHARD_PIECES = 1024
 #: A core that more different pieces share is spread over several shards.
 SPREAD = 4096
+#: Bytes that are scanned for anchors at once.
+SCAN = 1 << 18
 
 REF = "core long, piece long, th long, start int, n int"
 
@@ -46,7 +48,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offsets = column_bytes(batch.column("t"))
         th = batch.column("th").to_numpy()
-        for first, last in row_chunks(offsets):
+        for first, last in row_chunks(offsets, SCAN):
             a, b = offsets[first], offsets[last]
             at, h, _ = anchors(buf[a:b], offsets[first : last + 1] - a, LENGTH)
             row = np.searchsorted(offsets, at + a, side="right") - 1
@@ -61,7 +63,7 @@ def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, offsets = column_bytes(batch.column("t"))
         th = batch.column("th").to_numpy()
         lists = batch.column("at")
-        for first, last in row_chunks(offsets):
+        for first, last in row_chunks(offsets, SCAN):
             a, b = offsets[first], offsets[last]
             places, hashes, lows = anchors(buf[a:b], offsets[first : last + 1] - a, LENGTH)
             part = lists[first:last]
@@ -229,7 +231,8 @@ def candidate_texts(texts: DataFrame) -> DataFrame:
 
 
 def repeated_spans(candidates: DataFrame) -> DataFrame:
-    """(th, lo, hi): stretches of bytes, by rows of candidate_texts(), that repeated passages cover; they may overlap.
+    """(th, spans): stretches (lo, hi) of bytes, by rows of candidate_texts(), that repeated passages cover; they may
+    overlap. A piece has one row for each place where it stands.
 
     Around the anchors, starts are put into pieces at fixed distances. A passage can only repeat if its piece's core
     does, and equal pieces repeat as a whole. Different pieces with one core are sorted into suffix arrays, shard by
@@ -253,10 +256,11 @@ def repeated_spans(candidates: DataFrame) -> DataFrame:
     kinds = many.groupBy("run", "core", "passage").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("copies").alias("copies"))
     twice = kinds.groupBy(F.pmod(F.col("passage"), F.lit(shards)).cast("int")).applyInArrow(_merge_runs, "core long, passage long").distinct()
     merged = many.join(stored(twice, "dedup-merged").hint("merge"), ["core", "passage"]).select("core", "piece", F.col("place").alias("lo"), F.col("place").alias("hi"))
-    part = stored(few.unionByName(merged), "dedup-ranges").select("core", "piece", "lo", "hi")
-    whole = pieces.filter("copies > 1").select("core", "piece", F.lit(0).alias("lo"), F.lit(-1).alias("hi"))
-    last = F.when(F.col("hi") < 0, F.col("n")).otherwise(F.col("hi") + LENGTH)
-    return refs.join(whole.unionByName(part).hint("merge"), ["core", "piece"]).select("th", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + last).alias("hi"))
+    part = few.unionByName(merged).groupBy("core", "piece").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))  # PIECE at most
+    whole = pieces.filter("copies > 1").select("core", "piece", F.array(F.struct(F.lit(0).alias("lo"), F.lit(-1).alias("hi"))).alias("parts"))
+    found = stored(whole.unionByName(part).groupBy("core", "piece").agg(F.flatten(F.collect_list("parts")).alias("parts")), "dedup-ranges")
+    last = lambda x: F.when(x["hi"] < 0, F.col("n")).otherwise(x["hi"] + LENGTH)
+    return refs.join(found.hint("merge"), ["core", "piece"]).select("th", F.transform("parts", lambda x: F.struct((F.col("start") + x["lo"]).alias("lo"), (F.col("start") + last(x)).alias("hi"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,7 +275,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t", F.octet_length("t")))
     candidates = stored(candidate_texts(slim.filter(F.octet_length("t") >= LENGTH).select("th", "t")), "dedup-texts")
-    spans = repeated_spans(candidates).groupBy("th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(candidates).groupBy("th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     cut = stored(candidates.select("th", "t").join(spans.hint("merge"), "th").select("th", "t", "spans").mapInArrow(_cut, "th long, removed long, runs long, kept string"), "dedup-cut")
     whole = slim.select("doc_id", "th", F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha"))
     copies = slim.groupBy("th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

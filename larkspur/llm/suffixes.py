@@ -52,7 +52,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``symbols`` (ints under 256) in order; a 0 ends a piece, and suffixes are compared up to it.
 
     Larsson-Sadakane: a first sort on eight symbols, then every group that is still unsorted is refined by the ranks a
-    doubled distance ahead, until ``depth``; sorted groups are left alone. Equal suffixes stay in the order of places.
+    doubled distance ahead, until ``depth``; sorted groups are left alone. Equal suffixes stand in the order of places.
     """
     n = len(symbols)
     order = np.arange(n, dtype=np.int32)
@@ -68,7 +68,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         alive &= padded[k : k + n] != 0
         key <<= np.uint64(8)
         key |= np.where(alive, padded[k : k + n], 0).astype(np.uint64)
-    order = np.argsort(key, kind="stable").astype(np.int32)
+    order = np.argsort(key).astype(np.int32)
     key = key[order]
     head = np.ones(n, bool)
     np.not_equal(key[1:], key[:-1], out=head[1:])
@@ -83,7 +83,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
             break
         members = order[slots]
         pair = rank[members].astype(np.int64) * (n + 1) + rank[np.minimum(members + h, stop[members])]
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         pair, members = pair[by], members[by]
         order[slots] = members
         changed = np.ones(len(slots), bool)
@@ -92,7 +92,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         rank[members] = slots[np.maximum.accumulate(np.where(changed, np.arange(len(slots)), 0))] + 1
         rank[:n][ends] = 0
         h *= 2
-    return order
+    return np.argsort(rank[:n].astype(np.int64) * (n + 1) + places).astype(np.int32)
 
 
 def kasai(symbols: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
