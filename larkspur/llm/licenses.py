@@ -107,19 +107,17 @@ def _units(path: Column) -> Column:
     return F.array_distinct(F.concat(single, runs(lambda raw, words: F.size(words) > 0), runs(lambda raw, words: raw.rlike(COMMENT)), F.coalesce(whole, F.array().cast("array<struct<line:int,last:int,w:array<string>>>"))))
 
 
-def needed_words(weights: dict[int, dict[str, float]], threshold: float) -> list[str]:
+def needed_words(weights: dict[int, dict[str, float]], idf: dict[str, float], threshold: float) -> list[str]:
     """Words of which a unit must have one to reach the threshold with any template, by the templates' unit vectors.
 
-    Without its heaviest words a template has too little length left for that cosine.
+    A template's commonest words are left out as long as what they have of its length is too little for that cosine.
     """
-    out = set()
+    out: set[str] = set()
     for vector in weights.values():
-        left = 1.0
-        for word, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
-            if left < threshold**2 - 1e-9:
-                break
-            left -= w * w
-            out.add(word)
+        length, rest = 0.0, sorted(vector, key=lambda w: (idf[w], w))
+        while rest and length + vector[rest[0]] ** 2 < threshold**2 - 1e-9:
+            length += vector[rest.pop(0)] ** 2
+        out.update(rest)
     return sorted(out)
 
 
@@ -139,7 +137,7 @@ def license_lines(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
 
     Units are lines, blocks and whole licence files (see _units). Weights are tf x idf; idf is ln((1 + lines) / (1 + lines
     with the word)) + 1 over all lines of all files. Ties go to the first template. Two exact bounds drop units before
-    any shuffle: one of the heaviest words of a template is needed (needed_words), and, as no idf is under 1, a unit's
+    any shuffle: one of a template's rarer words is needed (needed_words), and, as no idf is under 1, a unit's
     cosine is at most the share of its length that words of the templates have if all others had idf 1. Lines are
     counted for the words of the templates and of the units that are left; equal units are compared once. sizes are the
     words of each line, n_words those of the whole file.
@@ -154,7 +152,7 @@ def license_lines(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     weights = F.from_json(F.lit(json.dumps(idf_of)), "map<string,double>")
     norms = {k: math.sqrt(sum((n * idf_of[w]) ** 2 for w, n in c.items())) for k, c in counts.items()}
     vectors = {k: {w: n * idf_of[w] / norms[k] for w, n in c.items()} for k, c in counts.items()}
-    needed = needed_words(vectors, threshold)
+    needed = needed_words(vectors, idf_of, threshold)
     shape = json.dumps([{"word": w, "template": k, "license": templates[k][0], "weight": x} for k, v in vectors.items() for w, x in v.items()])
     shape = stored(spark.range(1).select(F.explode(F.from_json(F.lit(shape), "array<struct<word:string,template:int,license:string,weight:double>>")).alias("r")).select("r.*").coalesce(1), "license-templates")
 
@@ -163,7 +161,7 @@ def license_lines(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
         outside = F.size(u["w"]) - F.size(known)
         inside = F.aggregate(F.array_distinct(known), F.lit(0.0), lambda sum_, w: sum_ + (F.size(F.filter(known, lambda x: x == w)) * F.element_at(weights, w)) ** 2)
         least = threshold**2 * (1 - 1e-6)
-        # the heaviest words are few, so the cheap test comes first
+        # the cheap test comes first
         return F.exists(u["w"], lambda w: w.isin(needed)) & (inside * (1 - least) >= least * outside)
 
     sizes = F.transform("lines", lambda x: F.size(x))
