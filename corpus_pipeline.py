@@ -18,44 +18,59 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.xxhash64(id_text(F.col("doc_id")), F.coalesce("text", F.lit(""))))
 
 
-def _once(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Documents by _key, rows that are repeated (by key, in ``keys``) once."""
-    again = keys.groupBy("key").count().filter("count > 1")
-    return docs if again.isEmpty() else docs.dropDuplicates(["_key"])
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or a learned rule rejects go."""
+    """Documents that the base rule or a learned rule rejects go.
+
+    A null or empty text has no words and goes; repeated rows are judged alike; all columns are kept, whatever their
+    names, by carrying the row as a whole; long texts are judged whole. An empty table gives an empty result.
+    """
     judged = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=F.struct("*"))
     return judged.filter("kept").select("row.*")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: the one with the least id."""
+    """One document of each class of near duplicates stays: the one with the least id.
+
+    Repeated rows become one. Texts that are null or without words, if any come here, are classes of their own. Ties (one
+    id, different texts) go to the least hash of id and text. Long texts are compared whole. An empty table gives an
+    empty result.
+    """
     classes = stored(near_duplicates(docs).select("key", "keeper"), "pipeline-classes")
     losers = stored(classes.filter(~F.col("keeper")).select(F.col("key").alias("_key")).distinct(), "pipeline-losers")
-    return _once(_keyed(docs).join(losers.hint("merge"), "_key", "left_anti"), classes.filter("keeper")).drop("_key")
+    # rows that are repeated share a key, by which the join has dealt them
+    return _keyed(docs).join(losers.hint("merge"), "_key", "left_anti").dropDuplicates(["_key"]).drop("_key")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
+    """Documents in which a window of a benchmark item occurs go.
+
+    Null and empty texts hold none and stay; repeated rows go or stay together; long texts are searched whole. An empty
+    table gives an empty result.
+    """
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     leaks = stored(found.filter("contaminated").select(F.col("key").alias("_key")).distinct(), "pipeline-leaks")
     return _keyed(docs).join(leaks.hint("merge"), "_key", "left_anti").drop("_key")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; the one that a source's budget cuts counts as a whole."""
+    """Each document as often as the mix takes it; the one that a source's budget cuts counts as a whole.
+
+    Documents of no words are not taken; repeated rows count as one document; a long text is taken whole or not at all.
+    Ties in the order are broken by the mix's own keys. An empty table gives an empty result.
+    """
     taken = mix_sources(docs).filter("taken > 0").select("key", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
     taken = stored(taken, "pipeline-taken")
     times = taken.groupBy(F.col("key").alias("_key")).agg(F.sum("times").cast("int").alias("_times"))
-    copies = _once(_keyed(docs), taken).join(times.hint("merge"), "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    copies = _keyed(docs).dropDuplicates(["_key"]).join(times.hint("merge"), "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return copies.drop("_key", "_times", "_copy").select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of each row of the mix."""
-    return shard_documents(docs)
+    """The shard of each row of the mix; copies of a document part, as one of 350 KB taken three times fits no shard.
+
+    Rows of null or empty texts have 0 bytes; a text over the limit is marked. An empty table gives an empty result.
+    """
+    return shard_documents(docs, part_copies=True)
 
 
 STAGES = [

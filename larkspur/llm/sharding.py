@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hash_bits, id_text, stored
@@ -38,17 +38,26 @@ def directory_of(keyed: DataFrame, max_bytes: int, bits: int) -> tuple[DataFrame
     return found.filter(F.col("depth").isNotNull()), found.filter(F.col("depth").isNull()).select("slot")
 
 
-def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
+def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bytes: int = MAX_BYTES, part_copies: bool = False) -> DataFrame:
     """The shard of each document: doc_id, n_bytes, shard_id, depth, shard_bytes, shard_docs, oversize.
 
     shard_id is the bits that lead to the bucket ('*' for none). All documents start in one bucket; a bucket over
     ``max_bytes`` splits on the next bit of the hash of id and text. A bucket that is too large with all bits (one
     document longer than the limit, or rows that are equal in id and text) stays whole and is marked oversize.
 
-    A null text has 0 bytes, a null id counts as ''. Repeated rows are kept. Other columns are ignored; an empty table
+    With ``part_copies`` the copies of a row that are equal in id and text are numbered, and numbers over 1 go into the
+    hash, so that copies part too; this is for tables with few copies of each, as a mix has, since those of one row meet
+    in one task.
+
+    A null text has 0 bytes, a null id counts as ''. A long text is one row and never cut. Rows of one hash stay together,
+    so there are no ties to break. Repeated rows are kept. Other columns are ignored; an empty table
     gives an empty result.
     """
-    keyed = stored(docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), hash_bits(id_text(F.col(doc_id)), F.coalesce(F.col(text), F.lit(""))).alias("h")), "shard-keys")
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), hash_bits(id_text(F.col(doc_id)), F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    if part_copies:
+        number = F.row_number().over(Window.partitionBy("h", "doc_id").orderBy("n_bytes"))
+        keyed = keyed.withColumn("k", number).select("doc_id", "n_bytes", F.when(F.col("k") == 1, F.col("h")).otherwise(hash_bits(F.col("h").cast("string"), F.col("k").cast("string"))).alias("h"))
+    keyed = stored(keyed, "shard-keys")
     total = keyed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     bits = min(BITS, max(0, math.ceil(math.log2(max(1, total / max_bytes)))) + SPARE)
     parts, todo = [], keyed
