@@ -136,9 +136,10 @@ def license_lines(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     """(key, line, last, license, score, sizes, n_words) of the units of (key, t, path) whose best template reaches the threshold.
 
     Units are lines, blocks and whole licence files (see _units). Weights are tf x idf; idf is ln((1 + lines) / (1 + lines
-    with the word)) + 1 over all lines of all files. Ties go to the first template. Two exact bounds drop units before
+    with the word)) + 1 over all lines of all files. Ties go to the first template. Three exact bounds drop units before
     any shuffle: one of a template's rarer words is needed (needed_words), and, as no idf is under 1, a unit's
-    cosine is at most the share of its length that words of the templates have if all others had idf 1. Lines are
+    cosine is at most the share of its length that words of the templates have if all others had idf 1, and at most what
+    its product with the best template gives with that length. Lines are
     counted for the words of the templates and of the units that are left; equal units are compared once. sizes are the
     words of each line, n_words those of the whole file.
     """
@@ -153,6 +154,7 @@ def license_lines(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     norms = {k: math.sqrt(sum((n * idf_of[w]) ** 2 for w, n in c.items())) for k, c in counts.items()}
     vectors = {k: {w: n * idf_of[w] / norms[k] for w, n in c.items()} for k, c in counts.items()}
     needed = needed_words(vectors, idf_of, threshold)
+    per_word = F.from_json(F.lit(json.dumps({w: [idf_of[w] * vectors[k].get(w, 0.0) for k in sorted(vectors)] for w in words})), "map<string,array<double>>")
     shape = json.dumps([{"word": w, "template": k, "license": templates[k][0], "weight": x} for k, v in vectors.items() for w, x in v.items()])
     shape = stored(spark.range(1).select(F.explode(F.from_json(F.lit(shape), "array<struct<word:string,template:int,license:string,weight:double>>")).alias("r")).select("r.*").coalesce(1), "license-templates")
 
@@ -161,8 +163,11 @@ def license_lines(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
         outside = F.size(u["w"]) - F.size(known)
         inside = F.aggregate(F.array_distinct(known), F.lit(0.0), lambda sum_, w: sum_ + (F.size(F.filter(known, lambda x: x == w)) * F.element_at(weights, w)) ** 2)
         least = threshold**2 * (1 - 1e-6)
+        times = lambda w: F.size(F.filter(known, lambda x: x == w))
+        dots = F.aggregate(F.array_distinct(known), F.array(*[F.lit(0.0)] * len(vectors)), lambda sums, w: F.zip_with(sums, F.element_at(per_word, w), lambda a, b: a + b * times(w)))
+        best = F.array_max(dots)
         # the cheap test comes first
-        return F.exists(u["w"], lambda w: w.isin(needed)) & (inside * (1 - least) >= least * outside)
+        return F.exists(u["w"], lambda w: w.isin(needed)) & (inside * (1 - least) >= least * outside) & (best * best >= least * (inside + outside))
 
     sizes = F.transform("lines", lambda x: F.size(x))
     near = files.filter(F.exists(line_words(F.col("t")), lambda w: w.isin(needed)))
