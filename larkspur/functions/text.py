@@ -37,19 +37,33 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(longest > 0, 1 - F.levenshtein(a, b) / longest).otherwise(F.lit(1.0))
 
 
+#: Domains of tools, whose addresses are nobody's contact. Fixed values.
+TOOL_DOMAINS = ("wixpress.com", "sentry.io")
+
+
 def emails(text: Column) -> Column:
-    """Distinct addresses in order, lower case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"), F.lit(0)), lambda e: F.lower(e)))
+    """Distinct addresses in order, lower case; not the names of scaled images (a@2x.png) nor addresses of tools."""
+    found = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9._%+-]+@(?![0-9]+[xX]\\.)[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"), F.lit(0)), lambda e: F.lower(e))
+    domain = lambda e: F.substring_index(e, "@", -1)
+    tool = lambda e: domain(e).isin(*TOOL_DOMAINS) | domain(e).rlike("\\.(" + "|".join(d.replace(".", "\\.") for d in TOOL_DOMAINS) + ")$")
+    return F.array_distinct(F.filter(found, lambda e: ~tool(e)))
 
 
 def normalise_url(url: Column) -> Column:
-    """http and https alone; host in lower case, no fragment, no tracking parameters, no slash at the end."""
+    """http and https alone; host in lower case, no fragment, no slash at the end of a path that is more than one."""
     base = F.regexp_replace(url, "#.*$", "")
     host = F.lower(F.regexp_extract(base, "^(?i)(https?://[^/?]*)", 1))
-    rest = F.regexp_extract(base, "^(?i)https?://[^/?]*(.*)$", 1)
-    kept = F.regexp_replace(F.regexp_replace(rest, f"([?&]){TRACKING}=[^&]*(?=&|$)", "$1"), "&{2,}", "&")
+    path = F.regexp_extract(base, "^(?i)https?://[^/?]*([^?]*)", 1)
+    path = F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
+    return F.when(host != "", F.concat(host, path, F.regexp_extract(base, "(\\?.*)$", 1)))
+
+
+def strip_tracking(url: Column) -> Column:
+    """The address without its tracking parameters, and without a question mark that nothing follows."""
+    query = F.regexp_extract(url, "(\\?.*)$", 1)
+    kept = F.regexp_replace(F.regexp_replace(query, f"([?&]){TRACKING}=[^&]*(?=&|$)", "$1"), "&{2,}", "&")
     kept = F.regexp_replace(F.regexp_replace(kept, "\\?&+", "?"), "[?&]+$", "")
-    return F.when(host != "", F.regexp_replace(F.concat(host, kept), "/$", ""))
+    return F.concat(F.substring_index(url, "?", 1), kept)
 
 
 def content_hash(text: Column) -> Column:

@@ -40,33 +40,37 @@ def venues_without(venues: DataFrame, deals: DataFrame) -> DataFrame:
 
 
 def overlapping_schedules(schedules: DataFrame) -> DataFrame:
-    """(deal_id, day, start, end, other_start, other_end): different slots of a deal and day that overlap, each pair once."""
-    slots = schedules.distinct()
-    other = slots.select("deal_id", "day", F.col("start").alias("other_start"), F.col("end").alias("other_end"))
-    first = (F.col("start") < F.col("other_start")) | ((F.col("start") == F.col("other_start")) & (F.col("end") < F.col("other_end")))
-    return slots.join(other, ["deal_id", "day"]).filter(first & (F.col("start") < F.col("other_end")) & (F.col("end") > F.col("other_start")))
+    """(deal_id, day, schedule_id, start, end, other_id, other_start, other_end): schedule rows of a deal and day that
+    overlap, equal ones too, each pair once by id."""
+    slots = schedules.select("deal_id", "day", "schedule_id", "start", "end")
+    other = slots.select("deal_id", "day", F.col("schedule_id").alias("other_id"), F.col("start").alias("other_start"), F.col("end").alias("other_end"))
+    apart = (F.col("schedule_id") < F.col("other_id")) & (F.col("start") < F.col("other_end")) & (F.col("end") > F.col("other_start"))
+    return slots.join(other, ["deal_id", "day"]).filter(apart)
 
 
 def search(deals: DataFrame, venues: DataFrame, schedules: DataFrame, order: list[Column], limit: int = 100) -> DataFrame:
     """The first ``limit`` deals with venue and nested schedules, ordered by day and start; the limit comes before the join to schedules."""
     top = deals.join(venues.drop("rating"), "venue_id").orderBy(*order).limit(limit)
     nested = schedules.join(top.select("deal_id"), "deal_id", "left_semi").groupBy("deal_id").agg(F.sort_array(F.collect_list(F.struct("day", "start", "end"))).alias("schedules"))
-    return top.join(nested, "deal_id", "left")
+    return top.join(nested, "deal_id", "left").orderBy(*order)
 
 
 def clamp_to_hours(schedules: DataFrame, hours: DataFrame) -> DataFrame:
-    """The parts of schedules (venue_id, deal_id, day, start, end) within opening hours (venue_id, day, open, close)."""
-    low, high = F.greatest("start", "open"), F.least("end", "close")
-    return schedules.join(hours, ["venue_id", "day"]).select("venue_id", "deal_id", "day", low.alias("start"), high.alias("end")).filter(F.col("end") > F.col("start"))
+    """The parts of schedules (venue_id, deal_id, day, start, end) within opening hours (venue_id, day, open, close).
+
+    Schedules of a venue and day without known hours stay as they are.
+    """
+    low, high = F.greatest("start", "open"), F.least("end", "close")  # nulls are passed over: without hours all stays
+    return schedules.join(hours, ["venue_id", "day"], "left").select("venue_id", "deal_id", "day", low.alias("start"), high.alias("end")).filter(F.col("end") > F.col("start"))
 
 
 def weekday_ranges(days: DataFrame, key: str) -> DataFrame:
-    """(key, badge): 'Mon-Wed, Fri' from rows of (key, day); '7 Days' for all. Runs of three days or more are ranges, two days are listed."""
+    """(key, badge): 'Mon-Wed, Fri' from rows of (key, day); '7 Days' for all. Runs of two days or more are ranges."""
     d = days.select(key, weekly.display_order(F.col("day")).alias("k"), "day").distinct()
     island = F.col("k") - F.row_number().over(Window.partitionBy(key).orderBy("k"))
     runs = d.withColumn("island", island).groupBy(key, "island").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n"), F.min_by("day", "k").alias("first"), F.max_by("day", "k").alias("last"))
     a, b = weekly.day_name(F.col("first")), weekly.day_name(F.col("last"))
-    label = F.when(F.col("n") == 1, a).when(F.col("n") == 2, F.concat_ws(", ", a, b)).otherwise(F.concat_ws("-", a, b))
+    label = F.when(F.col("n") == 1, a).otherwise(F.concat_ws("-", a, b))
     joined = runs.groupBy(key).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("lo", label.alias("label")))).alias("r"))
     return joined.select(key, F.when(F.col("n") == 7, "7 Days").otherwise(F.array_join(F.transform("r", lambda x: x["label"]), ", ")).alias("badge"))
 

@@ -45,7 +45,7 @@ def hour_heat(schedules: DataFrame) -> DataFrame:
 def dense_heat(heat: DataFrame) -> DataFrame:
     """The whole grid of 7 x 12 cells with zeros, intensity sqrt(count / largest) and all largest cells marked."""
     grid = heat.sparkSession.range(84).select((F.floor(F.col("id") / 12) + 1).cast("int").alias("day"), (F.col("id") % 12 + 12).cast("int").alias("hour"))
-    full = grid.join(F.broadcast(heat.limit(84)), ["day", "hour"], "left").select("day", "hour", F.coalesce("count", F.lit(0)).alias("count"))
+    full = grid.join(F.broadcast(heat.filter(F.col("day").between(1, 7) & F.col("hour").between(12, 23))), ["day", "hour"], "left").select("day", "hour", F.coalesce("count", F.lit(0)).alias("count"))
     most = F.max("count").over(Window.partitionBy())
     return full.withColumn("intensity", F.round(F.when(most > 0, F.sqrt(F.col("count") / most)).otherwise(0.0), 6)).withColumn("peak", (most > 0) & (F.col("count") == most))
 

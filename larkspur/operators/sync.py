@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def watermark(runs: DataFrame, by: str = "started_at") -> Column:
-    """The last run's start; rows that change during a run are then read again by the next one, not lost."""
-    return F.lit(runs.filter("finished_at is not null").agg(F.max(by)).first()[0])
+def watermark(runs: DataFrame, by: str = "started_at") -> Column | None:
+    """The last finished run's start, None without one: everything is read then. Rows that change during a run are read
+    again by the next one, not lost."""
+    last = runs.filter("finished_at is not null").agg(F.max(by)).first()[0]
+    return None if last is None else F.lit(last)
 
 
 def changed_since(rows: DataFrame, updated: str, mark: Column | None) -> DataFrame:
     return rows if mark is None else rows.filter(F.col(updated) > mark)
 
 
-def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], surrogate: str, keep_if_null: tuple[str, ...] = ()) -> DataFrame:
+def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], surrogate: str, keep_if_null: tuple[str, ...] = (), set_if_empty: tuple[str, ...] = ()) -> DataFrame:
     """The next state of ``current``: rows that match on ``keys`` (null equals null) take the incoming values and keep
     their surrogate id; new rows get ids after the largest one, in the order of their keys; columns in ``keep_if_null``
-    are only filled, never emptied.
+    are never emptied, those in ``set_if_empty`` only take a value where they have none (null or blank).
 
     Ids of new rows are row numbers within ranges of keys plus the sizes of the ranges before, so no task numbers all.
     """
@@ -27,7 +29,13 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], surrogate:
     for k in keys:
         same = same & F.col(f"c.{k}").eqNullSafe(F.col(f"i.{k}"))
     joined = current.withColumn("_c", F.lit(1)).alias("c").join(incoming.withColumn("_i", F.lit(1)).alias("i"), same, "full_outer")
-    pick = lambda c: (F.coalesce(F.col(f"i.{c}"), F.col(f"c.{c}")) if c in keep_if_null else F.when(F.col("i._i") == 1, F.col(f"i.{c}")).otherwise(F.col(f"c.{c}"))).alias(c)
+
+    def pick(c: str) -> Column:
+        new, old = F.col(f"i.{c}"), F.col(f"c.{c}")
+        if c in set_if_empty:
+            return F.when(F.trim(old.cast("string")) == "", new).otherwise(F.coalesce(old, new)).alias(c)
+        return (F.coalesce(new, old) if c in keep_if_null else F.when(F.col("i._i") == 1, new).otherwise(old)).alias(c)
+
     merged = joined.select(F.col(f"c.{surrogate}").alias(surrogate), *[F.when(F.col("c._c") == 1, F.col(f"c.{k}")).otherwise(F.col(f"i.{k}")).alias(k) for k in keys], *[pick(c) for c in values])
     fresh = merged.filter(F.col(surrogate).isNull())
     top = current.agg(F.coalesce(F.max(surrogate), F.lit(0)).alias("top"))
@@ -48,7 +56,7 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 
 def prune_orphans(published: DataFrame, active: DataFrame, key: str, source: str = "creation_source") -> DataFrame:
     """Rows that users made always stay; scraped ones stay while their source key is active."""
-    mine = published.filter(F.col(source) != "scraper")
+    mine = published.filter(~F.col(source).eqNullSafe("scraper"))
     return mine.unionByName(published.filter((F.col(source) == "scraper") & F.col(key).isNotNull()).join(active.select(key).distinct(), key, "left_semi").select(*published.columns))
 
 

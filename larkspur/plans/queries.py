@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, parsing, text, weekly
-from ..operators import apportion, search, stats, sync
+from ..operators import apportion, deal_search, search, sets, stats, sync
 from ..sources.tables import ROLES, Catalogue
 from ..streaming import events as ingest
 
@@ -142,9 +142,12 @@ def deals_without_schedules(c):
     return search.approved(c.deal).join(c.schedule, "deal_id", "left_anti").select("deal_id", "venue_id")
 
 
-@query("SELECT a.deal_id, a.day, a.s AS start, a.e AS \"end\", b.s AS other_start, b.e AS other_end FROM slots a JOIN slots b ON a.deal_id = b.deal_id AND a.day = b.day AND (a.s, a.e) < (b.s, b.e) AND a.s < b.e AND a.e > b.s", "slots AS (SELECT DISTINCT * FROM schedule_)")
+@query(
+    "SELECT a.deal_id, a.day, a.schedule_id, a.s AS start, a.e AS \"end\", b.schedule_id AS other_id, b.s AS other_start, b.e AS other_end FROM slots a JOIN slots b ON a.deal_id = b.deal_id AND a.day = b.day AND a.schedule_id < b.schedule_id AND a.s < b.e AND a.e > b.s",
+    "slots AS (SELECT x.* FROM schedule_ x JOIN deal_ USING (deal_id) WHERE status = 'approved')",
+)
 def overlapping_schedules(c):
-    return search.overlapping_schedules(c.schedule)
+    return search.overlapping_schedules(c.schedule.join(search.approved(c.deal).select("deal_id"), "deal_id", "left_semi"))
 
 
 @query("SELECT deal_id FROM deal_ d WHERE title ILIKE '%urgent%' AND EXISTS (SELECT 1 FROM schedule_ x WHERE x.deal_id = d.deal_id AND e - s > 150)")
@@ -263,7 +266,7 @@ def conversation_threads(c):
 
 
 @query(
-    "SELECT venue_id, deal_id, day, greatest(s, open) AS start, least(e, close) AS \"end\" FROM schedule_ JOIN deal_ USING (deal_id) JOIN hours_ USING (venue_id, day) WHERE least(e, close) > greatest(s, open)",
+    "SELECT venue_id, deal_id, day, greatest(s, open) AS start, least(e, close) AS \"end\" FROM schedule_ JOIN deal_ USING (deal_id) LEFT JOIN hours_ USING (venue_id, day) WHERE least(e, close) > greatest(s, open)",
     "hours_ AS (SELECT venue_id, d::INT AS day, (600 + 30 * (venue_id % 5))::INT AS open, (1200 + 60 * d)::INT AS close FROM venue_, (SELECT unnest(range(1, 7)) AS d))",
 )
 def clamp_to_hours(c):
@@ -275,7 +278,7 @@ def clamp_to_hours(c):
 _ISLANDS = "ds AS (SELECT DISTINCT deal_id, (day + 5) % 7 AS k FROM schedule_), isl AS (SELECT *, k - row_number() OVER (PARTITION BY deal_id ORDER BY k) AS g FROM ds), runs AS (SELECT deal_id, g, min(k) AS lo, max(k) AS hi, count(*) AS n FROM isl GROUP BY ALL), nm AS (SELECT *, ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][lo + 1] AS a, ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][hi + 1] AS b FROM runs)"
 
 
-@query("SELECT deal_id, CASE WHEN sum(n) = 7 THEN '7 Days' ELSE string_agg(CASE n WHEN 1 THEN a WHEN 2 THEN a || ', ' || b ELSE a || '-' || b END, ', ' ORDER BY lo) END AS badge FROM nm GROUP BY deal_id", _ISLANDS)
+@query("SELECT deal_id, CASE WHEN sum(n) = 7 THEN '7 Days' ELSE string_agg(CASE n WHEN 1 THEN a ELSE a || '-' || b END, ', ' ORDER BY lo) END AS badge FROM nm GROUP BY deal_id", _ISLANDS)
 def weekday_ranges(c):
     return search.weekday_ranges(c.schedule, "deal_id")
 
@@ -298,24 +301,31 @@ def unique_slugs(c):
     return c.venue.groupBy(text.slugify(F.col("venue")).alias("slug")).agg(F.min("venue_id").alias("venue_id"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), lambda e: lower(e)))), ',') AS emails FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')")
+_MAIL = r"""em AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), lambda e: lower(e)),
+  lambda e: NOT regexp_matches(e, '@[0-9]+x\.') AND NOT regexp_matches(e, '[@.](wixpress\.com|sentry\.io)$')) AS e FROM documents)"""
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(e)), ',') AS emails FROM em WHERE len(e) > 0", _MAIL)
 def email_extract(c):
     return c.table("documents").filter(F.col("text").contains("@")).select("doc_id", text.emails(F.col("text")).alias("e")).filter(F.size("e") > 0).select("doc_id", F.array_join(F.sort_array("e"), ",").alias("emails"))
 
 
-@query("SELECT page_id, regexp_replace(lower(regexp_extract(u, '^(https?://[^/?]*)', 1)) || regexp_extract(u, '^https?://[^/?]*(.*)$', 1), '/$', '') AS address, sha256(regexp_replace(lower(regexp_extract(u, '^(https?://[^/?]*)', 1)) || regexp_extract(u, '^https?://[^/?]*(.*)$', 1), '/$', '')) AS identity FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages) WHERE u NOT LIKE '%utm_%'")
-def url_normalize(c):
-    address = text.normalise_url(F.col("url"))
-    return c.table("pages").filter(~F.col("url").contains("utm_")).select("page_id", address.alias("address"), F.sha2(address, 256).alias("identity"))
+_ADDRESS = r"""parts_ AS (SELECT page_id, lower(regexp_extract(u, '^(?i)(https?://[^/?]*)', 1)) AS host, regexp_extract(u, '^(?i)https?://[^/?]*([^?]*)', 1) AS path, regexp_extract(u, '(\?.*)$', 1) AS search
+  FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages)),
+address_ AS (SELECT page_id, CASE WHEN host <> '' THEN host || CASE WHEN length(path) > 1 THEN regexp_replace(path, '/$', '') ELSE path END END AS base, search,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(search, '([?&])(?i:utm_(?:source|medium|campaign|term|content))=[^&]*', '\1', 'g'), '&{2,}', '&', 'g'), '\?&+', '?', 'g'), '[?&]+$', '') AS kept FROM parts_)"""
 
 
-_ADDRESS = r"(SELECT page_id, lower(regexp_extract(u, '^(?i)(https?://[^/?]*)', 1)) AS host, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(u, '^(?i)https?://[^/?]*(.*)$', 1), '([?&])(?i:utm_(?:source|medium|campaign|term|content))=[^&]*', '\1', 'g'), '&{2,}', '&', 'g'), '\?&+', '?', 'g'), '[?&]+$', '') AS rest FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages))"
+@query("SELECT page_id, base || search AS address, sha256(base || search) AS identity FROM address_", _ADDRESS)
+def url_normalize(c):
+    address = text.normalise_url(F.col("url"))
+    return c.table("pages").select("page_id", address.alias("address"), F.sha2(address, 256).alias("identity"))
 
 
-@query(f"SELECT page_id, address, sha256(address) AS identity FROM (SELECT page_id, CASE WHEN host <> '' THEN regexp_replace(host || rest, '/$', '') END AS address FROM {_ADDRESS})")
+@query("SELECT page_id, base || kept AS address, sha256(base || kept) AS identity FROM address_", _ADDRESS)
 def url_normalize_all(c):
-    """url_normalize over every page, those with tracking parameters among them."""
-    address = text.normalise_url(F.col("url"))
+    """Addresses without their tracking parameters."""
+    address = text.strip_tracking(text.normalise_url(F.col("url")))
     return c.table("pages").select("page_id", address.alias("address"), F.sha2(address, 256).alias("identity"))
 
 
@@ -420,3 +430,183 @@ def text_search_term(c):
 @query(f"SELECT doc_id FROM {_WORDS} WHERE contains(w, ' under the mit license ')")
 def text_search_phrase(c):
     return c.table("documents").filter(parsing.matches_query(parsing.search_words(F.col("text")), "under the MIT License")).select("doc_id")
+
+
+def _found(c, **wanted):
+    """The flat form of a search: nested schedules as text."""
+    rows = deal_search.search_deals(c.deal, c.venue, c.suburb, c.schedule, deal_search.DealFilter(**wanted))
+    flat = F.transform("schedules", lambda s: F.concat(s["day"].cast("string"), F.lit(":"), s["start"].cast("string"), F.lit("-"), s["end"].cast("string")))
+    km = [F.round("distance_km", 6).alias("distance_km")] if "distance_km" in rows.columns else []
+    return rows.select("deal_id", "title", "venue", "suburb", F.array_join(flat, ",").alias("schedules"), *km)
+
+
+def _found_sql(where: str, order: str = "venue, title, deal_id", extra: str = "", limit: int = 100) -> tuple[str, str]:
+    """SQL of a search over the chain of deals, venues and suburbs."""
+    top = f"top_ AS (SELECT d.deal_id, title, venue, suburb, v.lat, v.lng{extra} FROM deal_ d JOIN venue_ v USING (venue_id) LEFT JOIN suburb_ u ON u.suburb_id = v.suburb_id WHERE status = 'approved' AND {where} ORDER BY {order} LIMIT {limit})"
+    rounded = ", round(distance_km, 6) AS distance_km" if extra else ""
+    return f"SELECT deal_id, title, venue, suburb, (SELECT string_agg(day || ':' || s || '-' || e, ',' ORDER BY day, s, e) FROM schedule_ x WHERE x.deal_id = t.deal_id) AS schedules{rounded} FROM top_ t", top
+
+
+_ON = "EXISTS (SELECT 1 FROM schedule_ x WHERE x.deal_id = d.deal_id AND {0})"
+
+
+@query(*_found_sql(_ON.format("day IN (2, 3) AND s < 1140 AND e > 1020") + " AND v.suburb_id = 4"))
+def search_days_before_day(c):
+    """Days come before the day, and hold in the row that the window holds in."""
+    return _found(c, days=[2, 3], day=6, start_minute=1020, end_minute=1140, suburb_id=4)
+
+
+@query(*_found_sql(_ON.format("day = 6") + " AND (v.suburb_id IS NULL OR v.suburb_id <> 4)"))
+def search_backward_window(c):
+    """A window that ends before it begins is no filter; the day stays."""
+    return _found(c, day=6, start_minute=1140, end_minute=1020, exclude_suburb_id=4)
+
+
+@query(*_found_sql(_ON.format("e > 1300") + " AND v.lat BETWEEN -33.7 AND -33.4 AND v.lng BETWEEN 150.8 AND 151.2"))
+def search_bounds_before_place(c):
+    """Bounds come before the suburb and turn the place nearby off."""
+    return _found(c, start_minute=1300, bounds=BOX, suburb_id=4, near=(LAT, LNG))
+
+
+@query(*_found_sql(f"{_km(LAT, LNG, 'v.lat', 'v.lng').replace('v.lng - 150.9', 'v.lng - 150.9')} <= 12.0 AND regexp_matches(lower(title), '(^|[^a-z0-9])urgent([^a-z0-9]|$)')", "distance_km, venue, title, deal_id", f", {_km(LAT, LNG, 'v.lat', 'v.lng')} AS distance_km"))
+def search_near_with_text(c):
+    return _found(c, near=(LAT, LNG), radius_km=KM, query="urgent")
+
+
+@query(*_found_sql("d.deal_id IN (1, 2, 3, 4, 5, 6, 7, 32, 33, 34, 35)"))
+def search_by_ids(c):
+    return _found(c, ids=deal_search.parse_ids("1, 2,3,4,5,6,7,32,33,34,35"))
+
+
+@query(*_found_sql(_ON.format("(day = 6 AND s <= 1200 AND e > 1200) OR (day = 5 AND e > 1440 AND 1200 < e - 1440)")))
+def search_active_now(c):
+    return _found(c, active_at=(DAY, MINUTE))
+
+
+@query("SELECT venue_id, venue FROM venue_ v WHERE NOT EXISTS (SELECT 1 FROM deal_ d WHERE d.venue_id = v.venue_id AND status = 'approved' AND " + _ON.format("day = 2 AND s < 900") + ") ORDER BY venue, venue_id LIMIT 200")
+def complement_venues(c):
+    return deal_search.complement_venues(c.venue, c.deal, c.schedule, deal_search.DealFilter(day=2, end_minute=900)).select("venue_id", "venue")
+
+
+@query("SELECT suburb_id, suburb, postcode, count(deal_id) AS deal_count FROM suburb_ LEFT JOIN venue_ v USING (suburb_id) LEFT JOIN deal_ d ON d.venue_id = v.venue_id WHERE suburb ILIKE '%ion_1%' ESCAPE '!' OR postcode ILIKE '%ion_1%' ESCAPE '!' GROUP BY ALL ORDER BY deal_count DESC, suburb, suburb_id LIMIT 5")
+def suburb_search(c):
+    return deal_search.find_suburbs(c.suburb, c.venue, c.deal, " ION_1 ", region_id=1, limit=5)
+
+
+@query("SELECT suburb_id, suburb, postcode, count(deal_id) AS deal_count FROM suburb_ LEFT JOIN venue_ v USING (suburb_id) LEFT JOIN deal_ d ON d.venue_id = v.venue_id WHERE suburb ILIKE '%201%' OR postcode ILIKE '%201%' GROUP BY ALL ORDER BY deal_count DESC, suburb, suburb_id LIMIT 20")
+def suburb_postcode_search(c):
+    return deal_search.find_suburbs(c.suburb, c.venue, c.deal, "201")
+
+
+@query("SELECT suburb_id, suburb, postcode, count(deal_id) AS deal_count FROM suburb_ LEFT JOIN venue_ v USING (suburb_id) LEFT JOIN deal_ d ON d.venue_id = v.venue_id WHERE region_id = 1 GROUP BY ALL ORDER BY deal_count DESC, suburb, suburb_id LIMIT 3")
+def suburbs_of_region(c):
+    return deal_search.find_suburbs(c.suburb, c.venue, c.deal, "  ", region_id=1, limit=3)
+
+
+@query(f"SELECT suburb_id, suburb, deal_count, venue_count, round({_km(LAT, LNG, 'lat', 'lng')}, 6) AS distance_km FROM counts JOIN suburb_ USING (suburb_id, suburb) WHERE suburb_id <> 3 ORDER BY {_km(LAT, LNG, 'lat', 'lng')}, suburb, suburb_id LIMIT 5", _COUNTS)
+def nearby_suburbs_with_counts(c):
+    counts = stats.suburb_counts(c.suburb, c.venue, search.approved(c.deal))
+    return deal_search.nearby_suburbs(counts, LAT, LNG, 3).select("suburb_id", "suburb", "deal_count", "venue_count", F.round("distance_km", 6).alias("distance_km"))
+
+
+@query("SELECT suburb, deal_count, row_number() OVER (ORDER BY CASE WHEN sqkm > 0 THEN deal_count / sqkm END IS NULL, CASE WHEN sqkm > 0 THEN deal_count / sqkm END DESC NULLS LAST, suburb) AS place FROM counts ORDER BY place LIMIT 10", _COUNTS)
+def densest_suburbs(c):
+    """A report of ten: valid densities first, then names."""
+    rows = stats.suburb_counts(c.suburb, c.venue, search.approved(c.deal)).withColumn("ratio", stats.ratio(F.col("deal_count"), F.col("sqkm")))
+    top = deal_search.by_ratio(rows, "ratio").limit(10)
+    place = F.row_number().over(Window.orderBy(F.col("ratio").isNull(), F.col("ratio").desc_nulls_last(), "suburb"))  # ten rows
+    return top.select("suburb", "deal_count", place.cast("long").alias("place"))
+
+
+@query("SELECT deal_id, title, day, s AS start, e AS \"end\" FROM schedule_ JOIN deal_ USING (deal_id) JOIN venue_ USING (venue_id) JOIN suburb_ USING (suburb_id) WHERE region_id = 2 AND status = 'approved' AND regexp_matches(lower(title), '(^|[^a-z0-9])urgent([^a-z0-9]|$)')")
+def schedule_rows_for_matching(c):
+    return deal_search.schedule_rows(c.deal, c.venue, c.suburb, c.schedule, 2, "urgent")
+
+
+@query("SELECT c_custkey AS venue_id, c_nationkey::BIGINT AS suburb_id, 'live' AS source FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT DISTINCT c_custkey, c_nationkey::BIGINT, 'deals' FROM customer JOIN deal_ d ON d.venue_id = c_custkey WHERE c_acctbal < 0 AND status = 'approved'")
+def live_and_other_venues(c):
+    """All live venues and those of the others that have an approved deal; where both meet, the live one."""
+    live = c.venue.filter("rating >= 0").select("venue_id", "suburb_id", F.lit("live").alias("source"))
+    other = c.venue.join(search.approved(c.deal), "venue_id", "left_semi").select("venue_id", "suburb_id", F.lit("deals").alias("source"))
+    return sets.union_later_wins(other, live, ["venue_id"])
+
+
+@query("SELECT id, min(place) AS place FROM (SELECT c_custkey AS id, c_custkey AS place FROM customer WHERE c_custkey <= 50 UNION ALL SELECT o_custkey, 51 + min(o_orderkey) FROM orders WHERE o_custkey > 50 GROUP BY o_custkey) GROUP BY id")
+def append_results(c):
+    """Results of a second page after those of the first; what is there already keeps its place."""
+    have = c.venue.filter("venue_id <= 50").select(F.col("venue_id").alias("id"), F.col("venue_id").alias("place"))
+    return sets.append_first_seen(have, c.deal.select(F.col("venue_id").alias("id"), F.col("deal_id").alias("place")), ["id"], "place")
+
+
+@query("SELECT deal_id, min(start) AS start FROM (SELECT *, max(n) OVER (PARTITION BY deal_id) AS most FROM (SELECT deal_id, s AS start, count(*) AS n FROM schedule_ GROUP BY ALL)) WHERE n = most GROUP BY deal_id")
+def usual_start(c):
+    return sets.smallest_mode(c.schedule, ["deal_id"], "start")
+
+
+@query("SELECT deal_id, cluster, count(*) AS n, min(s) AS start FROM (SELECT *, sum(far) OVER (PARTITION BY deal_id ORDER BY s RANGE UNBOUNDED PRECEDING)::BIGINT AS cluster FROM (SELECT *, coalesce((s - lag(s) OVER (PARTITION BY deal_id ORDER BY s) > 120)::INT, 0) AS far FROM schedule_)) GROUP BY ALL")
+def start_clusters(c):
+    """Starts of a deal that are two hours apart at most, one after the other."""
+    return sets.gap_clusters(c.schedule, ["deal_id"], "start", 120).groupBy("deal_id", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"))
+
+
+@query("SELECT p_partkey AS row_id, first_value(p_partkey) OVER (PARTITION BY p_type, p_size ORDER BY p_retailprice DESC, p_partkey) AS keeper FROM part QUALIFY count(*) OVER (PARTITION BY p_type, p_size) > 1")
+def duplicate_keepers(c):
+    return sets.duplicate_mapping(c.table("part"), ["p_type", "p_size"], "p_partkey", F.col("p_retailprice").desc()).select(F.col("p_partkey").alias("row_id"), "keeper")
+
+
+@query("SELECT suburb_id, suburb, deal_count, deal_count = max(deal_count) OVER () AS most FROM counts WHERE region_id = 1 OR suburb ILIKE '%ia' ", _COUNTS)
+def scoped_suburbs(c):
+    """Suburbs of a region or of a name, the busiest marked."""
+    rows = stats.suburb_counts(c.suburb, c.venue, search.approved(c.deal)).filter((F.col("region_id") == 1) | F.col("suburb").ilike("%ia"))
+    return rows.select("suburb_id", "suburb", "deal_count", (F.col("deal_count") == F.max("deal_count").over(Window.partitionBy())).alias("most"))  # suburbs are few
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(lower(regexp_replace(url, '[?#].*$', '')), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(regexp_replace(url, '[?#].*$', '')), '\\.(png|jpe?g|gif|webp|avif)$') OR contains(lower(url), 'image') THEN 'image' ELSE 'webpage' END AS kind FROM pages")
+def page_kinds(c):
+    return c.table("pages").select("page_id", text.source_type(F.col("url")).alias("kind"))
+
+
+@query("SELECT a.c_custkey AS venue_id, b.c_custkey AS other_id, round(1 - levenshtein(a.c_name, b.c_name)::DOUBLE / greatest(length(a.c_name), length(b.c_name)), 6) AS similarity FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE a.c_custkey % 20 = 0")
+def name_similarity(c):
+    """Names of a stated query set (ids divisible by 20) against later ones of their suburb."""
+    v = c.venue.select("venue_id", "venue", "suburb_id")
+    other = v.select(F.col("venue_id").alias("other_id"), F.col("venue").alias("other"), "suburb_id")
+    pairs = v.filter("venue_id % 20 = 0").join(other, "suburb_id").filter("venue_id < other_id")
+    return pairs.select("venue_id", "other_id", F.round(text.levenshtein_similarity(F.col("venue"), F.col("other")), 6).alias("similarity"))
+
+
+@query("SELECT venue_id, round(2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(-33.6::DOUBLE - lat) / 2), 2) + cos(radians(lat)) * cos(radians(-33.6::DOUBLE)) * pow(sin(radians(150.9::DOUBLE - lng) / 2), 2)))), 6) AS km FROM venue_")
+def haversine_distances(c):
+    return c.venue.select("venue_id", F.round(geo.haversine_km(F.col("lat"), F.col("lng"), F.lit(LAT), F.lit(LNG)), 6).alias("km"))
+
+
+@query("SELECT o_orderkey AS deal_id FROM orders WHERE o_orderdate::DATE <= DATE '1996-06-30' AND o_orderdate::DATE + 200 >= DATE '1996-06-30'")
+def deals_in_season(c):
+    return c.deal.filter(sync.in_season(F.col("start_date"), F.date_add("start_date", 200), F.lit("1996-06-30").cast("date"))).select("deal_id")
+
+
+@query("SELECT l_orderkey AS deal_id, 9 AS day FROM lineitem WHERE l_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_orderkey % 7 = 0")
+def replace_schedules(c):
+    """Schedules of the deals that come in are replaced."""
+    have = c.schedule.select("deal_id", F.lit(9).alias("day"))
+    return sync.replace_children(have, c.deal.filter("deal_id % 7 = 0").select("deal_id", F.lit(1).alias("day")), "deal_id")
+
+
+@query("SELECT c_custkey AS id, 'have' AS source FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT DISTINCT o_custkey, 'new' FROM orders WHERE o_custkey % 3 = 0")
+def insert_missing(c):
+    have = c.venue.filter("venue_id % 3 <> 0").select(F.col("venue_id").alias("id"), F.lit("have").alias("source"))
+    return sync.insert_new(have, c.deal.select(F.col("venue_id").alias("id"), F.lit("new").alias("source")), ["id"])
+
+
+@query("SELECT a.c_custkey AS venue_id, bool_or(b.l_returnflag IN ('R', 'X')) AS shared, list_sort(list(DISTINCT b.day)) = [1, 7] AS weekend FROM customer a JOIN orders o ON o.o_custkey = a.c_custkey JOIN (SELECT l_orderkey, l_returnflag, (dayofweek(l_shipdate) + 1)::INT AS day FROM lineitem) b ON b.l_orderkey = o.o_orderkey GROUP BY 1")
+def shared_days(c):
+    """Whether lists of a venue meet a wanted one, and whether its days are just the weekend."""
+    rows = c.deal.select("deal_id", "venue_id").join(c.table("lineitem").select(F.col("l_orderkey").alias("deal_id"), "l_returnflag", F.dayofweek("l_shipdate").alias("day")), "deal_id")
+    lists = rows.groupBy("venue_id").agg(F.collect_set("l_returnflag").alias("flags"), F.collect_set("day").alias("days"))
+    return lists.select("venue_id", F.arrays_overlap("flags", F.array(F.lit("R"), F.lit("X"))).alias("shared"), sets.same_days(F.col("days"), F.array(F.lit(7), F.lit(1), F.lit(7))).alias("weekend"))
+
+
+@query("SELECT l_orderkey AS deal_id, l_partkey AS product, (min({'p': l_linenumber, 'x': l_extendedprice}) FILTER (l_discount > 0)).x AS price, min(l_linenumber) AS place FROM lineitem GROUP BY ALL")
+def priced_products(c):
+    rows = c.table("lineitem").select(F.col("l_orderkey").alias("deal_id"), F.col("l_partkey").alias("product"), F.when(F.col("l_discount") > 0, F.col("l_extendedprice")).alias("price"), F.col("l_linenumber").alias("place"))
+    return sets.merge_priced(rows, "deal_id", "product", "price", "place")

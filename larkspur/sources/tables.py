@@ -27,7 +27,7 @@ class Catalogue:
         k = F.col("n_nationkey")
         return self.table("nation").select(
             k.cast("long").alias("suburb_id"), F.col("n_name").alias("suburb"), F.col("n_regionkey").cast("long").alias("region_id"),
-            F.when(k % 5 != 0, (1 + k % 7).cast("double")).alias("sqkm"), (1000 * (k + 1)).cast("long").alias("population"),
+            F.when(k % 5 != 0, (1 + k % 7).cast("double")).alias("sqkm"), (1000 * (k + 1)).cast("long").alias("population"), (2000 + k).cast("long").cast("string").alias("postcode"),
             (F.lit(-34.0) + (k % 5) * F.lit(0.2)).alias("lat"), (F.lit(150.5) + ((k * 3) % 25) * F.lit(0.04)).alias("lng"),
         )
 
@@ -50,7 +50,8 @@ class Catalogue:
     @property
     def schedule(self) -> DataFrame:
         start = (F.col("l_quantity").cast("int") * 30) % 1440
-        return self.table("lineitem").select(F.col("l_orderkey").alias("deal_id"), F.dayofweek("l_shipdate").alias("day"), start.alias("start"), (start + 30 * F.col("l_linenumber")).cast("int").alias("end"))
+        number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+        return self.table("lineitem").select(F.col("l_orderkey").alias("deal_id"), number.alias("schedule_id"), F.dayofweek("l_shipdate").alias("day"), start.alias("start"), (start + 30 * F.col("l_linenumber")).cast("int").alias("end"))
 
     @property
     def event(self) -> DataFrame:
@@ -62,9 +63,9 @@ class Catalogue:
 ROLES = """
 region_ AS (SELECT r_regionkey::BIGINT AS region_id, r_name AS region FROM region),
 suburb_ AS (SELECT n_nationkey::BIGINT AS suburb_id, n_name AS suburb, n_regionkey::BIGINT AS region_id, CASE WHEN n_nationkey % 5 <> 0 THEN (1 + n_nationkey % 7)::DOUBLE END AS sqkm,
-  (1000 * (n_nationkey + 1))::BIGINT AS population, -34.0::DOUBLE + (n_nationkey % 5) * 0.2::DOUBLE AS lat, 150.5::DOUBLE + ((n_nationkey * 3) % 25) * 0.04::DOUBLE AS lng FROM nation),
+  (1000 * (n_nationkey + 1))::BIGINT AS population, (2000 + n_nationkey)::BIGINT::VARCHAR AS postcode, -34.0::DOUBLE + (n_nationkey % 5) * 0.2::DOUBLE AS lat, 150.5::DOUBLE + ((n_nationkey * 3) % 25) * 0.04::DOUBLE AS lng FROM nation),
 venue_ AS (SELECT c_custkey AS venue_id, c_name AS venue, c_nationkey::BIGINT AS suburb_id, c_acctbal AS rating, -34.0::DOUBLE + (c_custkey % 997) * 0.001::DOUBLE AS lat, 150.5::DOUBLE + ((c_custkey * 7) % 1009) * 0.001::DOUBLE AS lng FROM customer),
 deal_ AS (SELECT o_orderkey AS deal_id, o_custkey AS venue_id, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'new' ELSE 'rejected' END AS status, o_orderpriority AS title, o_orderdate::DATE AS start_date, o_totalprice AS price FROM orders),
-schedule_ AS (SELECT l_orderkey AS deal_id, (dayofweek(l_shipdate) + 1)::INT AS day, (l_quantity::INT * 30) % 1440 AS s, (l_quantity::INT * 30) % 1440 + 30 * l_linenumber AS e FROM lineitem),
+schedule_ AS (SELECT l_orderkey AS deal_id, l_orderkey * 10 + l_linenumber AS schedule_id, (dayofweek(l_shipdate) + 1)::INT AS day, (l_quantity::INT * 30) % 1440 AS s, (l_quantity::INT * 30) % 1440 + 30 * l_linenumber AS e FROM lineitem),
 event_ AS (SELECT event_id, ts, user_id, event_type, value, json_extract_string(props, '$.k')::INT AS k, CASE WHEN json_extract_string(props, '$.k')::INT % 9 > 0 THEN json_extract_string(props, '$.k')::INT % 9 END AS day FROM events)
 """

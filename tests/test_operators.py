@@ -43,7 +43,10 @@ def test_geo(spark):
 def test_text(spark):
     assert one(spark, text.slugify(F.lit("  Café & Bar! "))) == "cafe-bar"
     assert one(spark, text.suburb_slug(F.lit("Area"), F.lit(" "))) == "area"
-    assert one(spark, text.normalise_url(F.lit("HTTPS://A.Example/x/?utm_source=q&b=1#f"))) == "https://a.example/x/?b=1"
+    urls = {"HTTPS://A.Example/x/?utm_source=q&b=1#f": "https://a.example/x?utm_source=q&b=1", "http://a.example/": "http://a.example/", "http://a.example": "http://a.example", "http://a.example/b/": "http://a.example/b"}
+    assert [one(spark, text.normalise_url(F.lit(u))) for u in urls] == list(urls.values())
+    assert one(spark, text.strip_tracking(F.lit("https://a.example/x?utm_source=q&b=1"))) == "https://a.example/x?b=1"
+    assert one(spark, text.emails(F.lit("mailto:Me@Pub.example, x@2x.png a@o1.sentry.io b@wixpress.com me@pub.example"))) == ["me@pub.example"]
     assert one(spark, text.normalise_url(F.lit("mailto:a@b.c"))) is None
     assert one(spark, text.trigram_similarity(text.trigrams(F.lit("word")), text.trigrams(F.lit("word")))) == 1
     assert one(spark, text.trigram_similarity(text.trigrams(F.lit("")), text.trigrams(F.lit("")))) == 0

@@ -17,8 +17,8 @@ def plain_address(url):
     host, path = rest[:cut], rest[cut:]
     path, _, search = path.partition("?")
     kept = [p for p in search.split("&") if p and not ("=" in p and p.split("=")[0].lower() in KEYS)]
-    out = f"{scheme.lower()}://{host.lower()}{path}" + ("?" + "&".join(kept) if kept else "")
-    return out[:-1] if out.endswith("/") else out
+    path = path[:-1] if len(path) > 1 and path.endswith("/") else path
+    return f"{scheme.lower()}://{host.lower()}{path}" + ("?" + "&".join(kept) if kept else "")
 
 
 def test_every_url_is_normalised(spark, tmp_path):
