@@ -86,6 +86,11 @@ def template_words(templates: tuple[tuple[str, str], ...]) -> dict[int, dict[str
     return out
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _units(path: Column) -> Column:
     """What is compared of a file's ``raw`` lines and their words (``lines``): structs of first line, last line and words.
 
@@ -158,16 +163,22 @@ def license_lines(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     shape = json.dumps([{"word": w, "template": k, "license": templates[k][0], "weight": x} for k, v in vectors.items() for w, x in v.items()])
     shape = stored(spark.range(1).select(F.explode(F.from_json(F.lit(shape), "array<struct<word:string,template:int,license:string,weight:double>>")).alias("r")).select("r.*").coalesce(1), "license-templates")
 
+    least = threshold**2 * (1 - 1e-6)
+
+    def bounds(words_: Column, terms: Column) -> Column:
+        """By the number of words and those of the templates among them, with their counts."""
+        known = F.aggregate(terms, F.lit(0), lambda n, x: n + x["n"])
+        inside = F.aggregate(terms, F.lit(0.0), lambda sum_, x: sum_ + (x["n"] * F.element_at(weights, x["w"])) ** 2)
+        dots = F.aggregate(terms, F.array(*[F.lit(0.0)] * len(vectors)), lambda sums, x: F.zip_with(sums, F.element_at(per_word, x["w"]), lambda a, b: a + b * x["n"]))
+        length = _let(inside, lambda i: F.struct(i.alias("inside"), (F.size(words_) - known).alias("outside")))
+        cheap = lambda x: x["inside"] * (1 - least) >= least * x["outside"]
+        return _let(length, lambda x: cheap(x) & _let(F.array_max(dots), lambda d: d * d >= least * (x["inside"] + x["outside"])))
+
     def may_match(u: Column) -> Column:
         known = F.filter(u["w"], lambda w: w.isin(words))
-        outside = F.size(u["w"]) - F.size(known)
-        inside = F.aggregate(F.array_distinct(known), F.lit(0.0), lambda sum_, w: sum_ + (F.size(F.filter(known, lambda x: x == w)) * F.element_at(weights, w)) ** 2)
-        least = threshold**2 * (1 - 1e-6)
-        times = lambda w: F.size(F.filter(known, lambda x: x == w))
-        dots = F.aggregate(F.array_distinct(known), F.array(*[F.lit(0.0)] * len(vectors)), lambda sums, w: F.zip_with(sums, F.element_at(per_word, w), lambda a, b: a + b * times(w)))
-        best = F.array_max(dots)
+        counted = lambda k: F.transform(F.array_distinct(k), lambda w: F.struct(w.alias("w"), F.size(F.filter(k, lambda x: x == w)).alias("n")))
         # the cheap test comes first
-        return F.exists(u["w"], lambda w: w.isin(needed)) & (inside * (1 - least) >= least * outside) & (best * best >= least * (inside + outside))
+        return F.exists(u["w"], lambda w: w.isin(needed)) & _let(known, lambda k: _let(counted(k), lambda terms: bounds(u["w"], terms)))
 
     sizes = F.transform("lines", lambda x: F.size(x))
     near = files.filter(F.exists(line_words(F.col("t")), lambda w: w.isin(needed)))
