@@ -87,7 +87,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, key.
 
     A document word inside any whole occurrence of an item window is hit. Texts that are null or without words have
-    none and match nothing; a null item id counts as ''; items with equal ids count once. Repeated rows are judged
+    none and match nothing; a null item id counts as ''; items with equal ids count once. Of equally rare
+    terms the smaller hash is looked up, which changes no match; long texts are searched whole, a row's words at once.
+    Repeated rows are judged
     each; other columns are ignored; with an empty table of documents the result is empty, with one of items nothing
     is hit.
     """

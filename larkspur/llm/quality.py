@@ -161,7 +161,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """Statistics and verdict of each document; the rules are learned from ``labels`` (doc_id, quality: 0 is bad).
 
     Labels without a quality, with a null id, or of other documents are not used; a document with several labels is bad
-    if any says so. A null or empty text has no words and fails the base rule. Repeated rows are judged each; other
+    if any says so. A null or empty text has no words and fails the base rule. Long texts
+    are counted whole, a row's words at once. Repeated rows are judged each; other
     columns are ignored; an empty table gives an empty result. ``carry`` comes along as the column row.
     """
     stats = stored(statistics(docs, doc_id, text, carry), "quality-stats")
