@@ -1,0 +1,3 @@
+"""Importing the package registers every query."""
+
+from . import queries, text_queries  # noqa: F401
