@@ -72,3 +72,19 @@ def insert_new(current: DataFrame, incoming: DataFrame, keys: list[str]) -> Data
 def in_season(start: Column, end: Column, today: Column) -> Column:
     """Not before its start and not after its end, both inclusive; null ends are open."""
     return (start.isNull() | (start <= today)) & (end.isNull() | (end >= today))
+
+
+def prune_childless(parents: DataFrame, children: DataFrame, key: str, live: Column) -> DataFrame:
+    """Parents that are live or have a child."""
+    return parents.filter(F.coalesce(live, F.lit(False))).unionByName(parents.filter(~F.coalesce(live, F.lit(False))).join(children.select(key).distinct(), key, "left_semi").select(*parents.columns))
+
+
+def touched(parents: DataFrame, children: DataFrame, key: str, updated: str = "last_update") -> DataFrame:
+    """Parents whose time of change is that of their newest child if that is later."""
+    newest = children.groupBy(key).agg(F.max(updated).alias("_u"))
+    return parents.join(newest, key, "left").withColumn(updated, F.greatest(updated, "_u")).drop("_u").select(*parents.columns)
+
+
+def valid_schedule(day: Column, start: Column, end: Column) -> Column:
+    """Days 1 to 7, starts within the day, ends up to the end of the next one."""
+    return F.coalesce(day.between(1, 7) & start.between(0, 1439) & end.between(1, 2880), F.lit(False))

@@ -1,3 +1,3 @@
 """Importing the package registers every query."""
 
-from . import queries, text_queries  # noqa: F401
+from . import queries, store_queries, text_queries  # noqa: F401
