@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import deal_text, labels, weekly
+from ..functions import deal_text, english, labels, weekly
 from ..operators import products
 from .queries import query
 
@@ -146,3 +146,10 @@ def trimmed_titles(c):
     k = F.col("p_partkey") % 4
     title = F.when(k == 0, F.concat(F.lit("Tuesday: "), F.col("p_name"), F.lit(" 4PM - 6PM"))).when(k == 1, F.concat(F.lit("*"), F.col("p_name"), F.lit(" every Fri"))).when(k == 2, F.concat_ws(" ", F.lit("and"), "p_name", F.lit("available from 630pm &"))).otherwise(F.lit("Mon"))
     return c.table("part").select("p_partkey", deal_text.trim_title(title).alias("title"))
+
+
+@query()
+def text_search_stems(c):
+    """Documents by stems: a word in any form, or a phrase around stop words."""
+    vector = english.search_vector("text")
+    return c.table("documents").select("doc_id", vector.alias("v")).filter(english.matches(F.col("v"), "licenses, contacted, notice of copyright")).select("doc_id")

@@ -24,7 +24,7 @@ def plain(v):
     return "" if v is None else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_rows(spark, duck, name):
     got = QUERIES[name](spark, FOLDER)
     want = duck.sql(SQL[name])
