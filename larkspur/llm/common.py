@@ -38,6 +38,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as make it differ from all ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def plain_words(text: Column) -> Column:
     """Words of anything but ASCII white space, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

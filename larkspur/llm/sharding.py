@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_bits, id_text, stored
+from .common import hash_bits, id_text, spare, stored
 
 #: Bits of a document's hash; a bucket that is too large with all of them holds equal rows or one long document.
 BITS = 60
@@ -38,7 +38,7 @@ def directory_of(keyed: DataFrame, max_bytes: int, bits: int) -> tuple[DataFrame
     return found.filter(F.col("depth").isNotNull()), found.filter(F.col("depth").isNull()).select("slot")
 
 
-def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bytes: int = MAX_BYTES, part_copies: bool = False) -> DataFrame:
+def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bytes: int = MAX_BYTES, part_copies: bool = False, carry: Column | None = None) -> DataFrame:
     """The shard of each document: doc_id, n_bytes, shard_id, depth, shard_bytes, shard_docs, oversize.
 
     shard_id is the bits that lead to the bucket ('*' for none). All documents start in one bucket; a bucket over
@@ -49,27 +49,30 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hash, so that copies part too; this is for tables with few copies of each, as a mix has, since those of one row meet
     in one task.
 
+    ``carry`` goes with each row to the result as the column ``row``, such as F.struct("*") for all of its columns.
+
     A null text has 0 bytes, a null id counts as ''. A long text is one row and never cut. Rows of one hash stay together,
     so there are no ties to break. Repeated rows are kept. Other columns are ignored; an empty table
     gives an empty result.
     """
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), hash_bits(id_text(F.col(doc_id)), F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    row = [] if carry is None else ["row"]
+    keyed = docs.select(*([] if carry is None else [carry.alias("row")]), F.col(doc_id).alias("doc_id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), hash_bits(id_text(F.col(doc_id)), F.coalesce(F.col(text), F.lit(""))).alias("h"))
     if part_copies:
         number = F.row_number().over(Window.partitionBy("h", "doc_id").orderBy("n_bytes"))
-        keyed = keyed.withColumn("k", number).select("doc_id", "n_bytes", F.when(F.col("k") == 1, F.col("h")).otherwise(hash_bits(F.col("h").cast("string"), F.col("k").cast("string"))).alias("h"))
+        keyed = keyed.withColumn("k", number).select(*row, "doc_id", "n_bytes", F.when(F.col("k") == 1, F.col("h")).otherwise(hash_bits(F.col("h").cast("string"), F.col("k").cast("string"))).alias("h"))
     keyed = stored(keyed, "shard-keys")
     total = keyed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     bits = min(BITS, max(0, math.ceil(math.log2(max(1, total / max_bytes)))) + SPARE)
     parts, todo = [], keyed
     while True:
         found, over = directory_of(todo.select("h", "n_bytes"), max_bytes, bits)
-        parts.append(todo.withColumn("slot", _first(bits)).join(found, "slot").select("doc_id", "n_bytes", "depth", "bucket", "shard_bytes", "shard_docs", F.lit(False).alias("oversize")))
+        parts.append(todo.withColumn("slot", _first(bits)).join(found, "slot").select(*row, "doc_id", "n_bytes", "depth", "bucket", "shard_bytes", "shard_docs", F.lit(False).alias("oversize")))
         if over.isEmpty():
             break
         todo = todo.withColumn("slot", _first(bits)).join(over, "slot", "left_semi").drop("slot")
         # bits do not part rows of one hash: a slot with a single hash is as small as it gets
         single = stored(todo.groupBy(_first(bits).alias("slot")).agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_docs")).filter("lo = hi"), "shard-single")
-        parts.append(todo.withColumn("slot", _first(bits)).join(single, "slot").select("doc_id", "n_bytes", F.lit(bits).alias("depth"), F.col("slot").alias("bucket"), "shard_bytes", "shard_docs", F.lit(True).alias("oversize")))
+        parts.append(todo.withColumn("slot", _first(bits)).join(single, "slot").select(*row, "doc_id", "n_bytes", F.lit(bits).alias("depth"), F.col("slot").alias("bucket"), "shard_bytes", "shard_docs", F.lit(True).alias("oversize")))
         todo = todo.withColumn("slot", _first(bits)).join(single, "slot", "left_anti").drop("slot")
         if bits == BITS:
             break
@@ -78,15 +81,23 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for part in parts[1:]:
         out = out.unionByName(part)
     name = F.when(F.col("depth") == 0, F.lit("*")).otherwise(F.lpad(F.bin("bucket"), F.col("depth"), F.lit("0")))
-    return out.select("doc_id", "n_bytes", name.alias("shard_id"), "depth", "shard_bytes", "shard_docs", "oversize")
+    return out.select(*row, "doc_id", "n_bytes", name.alias("shard_id"), "depth", "shard_bytes", "shard_docs", "oversize")
+
+
+def sharded_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bytes: int = MAX_BYTES, part_copies: bool = False) -> DataFrame:
+    """Each row of ``docs`` once, whatever its ids and columns, with the columns of ``shard_documents`` behind its own.
+
+    A column that the table has already gets underscores behind its name.
+    """
+    found = shard_documents(docs, doc_id, text, max_bytes, part_copies, carry=F.struct("*"))
+    return found.select("row.*", *[F.col(c).alias(spare(docs.columns, c)) for c in found.columns if c not in ("row", "doc_id")])
 
 
 def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", max_bytes: int = MAX_BYTES) -> None:
-    """Writes the documents below ``path``, a folder shard_id=... for each shard."""
-    shards = shard_documents(docs, doc_id, text, max_bytes).select(F.col("doc_id").alias("_of"), "n_bytes", "shard_id").distinct()
-    size = F.octet_length(F.coalesce(F.col(text), F.lit("")))
-    joined = docs.join(shards, F.col(doc_id).eqNullSafe(F.col("_of")) & (size == F.col("n_bytes"))).drop("_of", "n_bytes")
-    joined.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    """Writes the documents below ``path``, a folder shard_id=... for each shard; a column of that name stays beside it."""
+    folder = spare(docs.columns, "shard_id")
+    rows = sharded_rows(docs, doc_id, text, max_bytes).select(*docs.columns, folder)
+    rows.repartition(folder).write.partitionBy(folder).parquet(path)
 
 
 def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,29 @@ def test_copies_part(spark):
     assert shard_documents(docs, max_bytes=700).filter("oversize").count() == 3
 
 
+def test_clashing_columns(spark, tmp_path):
+    names = ["_key", "_times", "_copy", "key", "often", "shard_id", "row", "col", "times", "taken", "KEY_"]
+    several = [(k, prose(900 + k, 60 + k), "en", "ab"[k % 2], 1) for k in range(12)] + [(3, prose(903, 63), "en", "b", 1)] * 2 + [(None, prose(950, 70), "en", None, 1), (3, prose(951, 70), None, "a", 1)]
+    spark.createDataFrame([(*r, *names) for r in several], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("i1", prose(904, 20))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns[: 5 + len(names)] == ["doc_id", "text", "lang", "source", "n_chars", *names] and "shard_id_" in got.columns
+    rows = got.collect()
+    # the mix may leave whole documents of a source out, but takes no others
+    assert rows and {(r["doc_id"], r["text"]) for r in rows} <= {(r[0], r[1]) for r in several if not r[1].startswith(prose(904, 20))}
+    assert all([r[n] for n in names] == names for r in rows)
+
+
+def test_write_shards_keeps_rows(spark, tmp_path):
+    from larkspur.llm.sharding import write_shards
+
+    rows = [(1, "ab", "x"), (1, "cd", "y"), (2, "ab", "z"), (2, "ab", "z"), (None, None, "w"), (None, "ab", None)]
+    write_shards(spark.createDataFrame(rows, "doc_id long, text string, shard_id string"), f"{tmp_path}/out", max_bytes=3)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert collections.Counter(map(tuple, back.select("doc_id", "text", "shard_id").collect())) == collections.Counter(rows) and "shard_id_" in back.columns
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).selectExpr("doc_id", "text", "lang", "source", "0L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
