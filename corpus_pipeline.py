@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import id_text, stored, with_package
+from larkspur.llm.common import id_text, spare, stored, with_package
 from larkspur.llm.decontaminate import decontaminate
 from larkspur.llm.jaccard import near_duplicates
 from larkspur.llm.mixing import mix_sources
 from larkspur.llm.quality import quality_rules
-from larkspur.llm.sharding import shard_documents
+from larkspur.llm.sharding import sharded_rows
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The documents with the key that the operators give them."""
-    return docs.withColumn("_key", F.xxhash64(id_text(F.col("doc_id")), F.coalesce("text", F.lit(""))))
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with the key that the operators give them, in a column ``name`` that they lack."""
+    return docs.withColumn(name, F.xxhash64(id_text(F.col("doc_id")), F.coalesce("text", F.lit(""))))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +36,10 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     empty result.
     """
     classes = stored(near_duplicates(docs).select("key", "keeper"), "pipeline-classes")
-    losers = stored(classes.filter(~F.col("keeper")).select(F.col("key").alias("_key")).distinct(), "pipeline-losers")
+    key = spare(docs.columns, "key")
+    losers = stored(classes.filter(~F.col("keeper")).select(F.col("key").alias(key)).distinct(), "pipeline-losers")
     # rows that are repeated share a key, by which the join has dealt them
-    return _keyed(docs).join(losers.hint("merge"), "_key", "left_anti").dropDuplicates(["_key"]).drop("_key")
+    return _keyed(docs, key).join(losers.hint("merge"), key, "left_anti").dropDuplicates([key]).drop(key)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +49,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     table gives an empty result.
     """
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = stored(found.filter("contaminated").select(F.col("key").alias("_key")).distinct(), "pipeline-leaks")
-    return _keyed(docs).join(leaks.hint("merge"), "_key", "left_anti").drop("_key")
+    key = spare(docs.columns, "key")
+    leaks = stored(found.filter("contaminated").select(F.col("key").alias(key)).distinct(), "pipeline-leaks")
+    return _keyed(docs, key).join(leaks.hint("merge"), key, "left_anti").drop(key)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,17 +62,19 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     taken = mix_sources(docs).filter("taken > 0").select("key", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
     taken = stored(taken, "pipeline-taken")
-    times = taken.groupBy(F.col("key").alias("_key")).agg(F.sum("times").cast("int").alias("_times"))
-    copies = _keyed(docs).dropDuplicates(["_key"]).join(times.hint("merge"), "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return copies.drop("_key", "_times", "_copy").select(*docs.columns)
+    key, often = spare(docs.columns, "key"), spare(docs.columns, "often")
+    times = taken.groupBy(F.col("key").alias(key)).agg(F.sum("times").cast("int").alias(often))
+    copies = _keyed(docs, key).dropDuplicates([key]).join(times.hint("merge"), key)
+    return copies.withColumn(often, F.explode(F.sequence(F.lit(1), F.col(often)))).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of each row of the mix; copies of a document part, as one of 350 KB taken three times fits no shard.
+    """Each row of the mix with its shard; copies of a document part, as one of 350 KB taken three times fits no shard.
 
-    Rows of null or empty texts have 0 bytes; a text over the limit is marked. An empty table gives an empty result.
+    All columns stay, whatever their names. Rows of null or empty texts have 0 bytes; a text over the limit is marked.
+    An empty table gives an empty result.
     """
-    return shard_documents(docs, part_copies=True)
+    return sharded_rows(docs, part_copies=True)
 
 
 STAGES = [
