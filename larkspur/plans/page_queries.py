@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import links, text
-from ..operators import crawl
+from ..operators import blocks, copies, crawl
 from .queries import query
 from .store_queries import _LINKS, _links
 
@@ -79,3 +79,35 @@ def crawl_parts(c):
     after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("url").alias("target"))
     ahead = lines.join(after, ["l_orderkey", "l_linenumber"]).groupBy("url", "target").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"))
     return crawl.crawl(seeds, pages, ahead).select("site", "depth", "url", "visit")
+
+
+@query()
+def content_blocks(c):
+    """Every page's blocks; SQL has no element tree, so written pages are held against them in the tests."""
+    made = blocks.content_blocks(c.table("pages"))
+    return made.select("page_id", "block", "title", "text", F.size("links").alias("n_links"))
+
+
+_PICTURES = """
+pic_ AS (SELECT id, (id * 37) % 101 AS area, v FROM (
+  SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings
+  UNION ALL SELECT vec_id + 1000000, list_transform(embedding::DOUBLE[], lambda x, i: x + 0.02::DOUBLE * ((i - 1 + vec_id) % 3 - 1)) FROM embeddings WHERE vec_id % 3 = 0
+  UNION ALL SELECT vec_id + 2000000, list_transform(embedding::DOUBLE[], lambda x, i: x + 0.03::DOUBLE * ((i - 1) % 3 - 1)) FROM embeddings WHERE vec_id % 9 = 0
+  UNION ALL SELECT vec_id + 3000000, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 5 = 0)),
+rank_ AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY area DESC, id) AS k FROM pic_),
+near_ AS MATERIALIZED (SELECT a.k, list(b.k ORDER BY b.k) AS before FROM rank_ a JOIN rank_ b ON b.k < a.k AND list_distance(a.v, b.v) <= 0.35 GROUP BY a.k),
+all_ AS MATERIALIZED (SELECT rank_.k, id, coalesce(before, []) AS before FROM rank_ LEFT JOIN near_ ON near_.k = rank_.k)"""
+
+
+@query(
+    "SELECT * FROM (WITH RECURSIVE pick AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept, NULL::BIGINT AS at UNION ALL SELECT all_.k, CASE WHEN len(list_intersect(before, kept)) = 0 THEN list_append(kept, all_.k) ELSE kept END, coalesce(list_min(list_intersect(before, kept)), all_.k) FROM pick JOIN all_ ON all_.k = pick.k + 1) SELECT r.id, w.id AS keeper FROM pick JOIN rank_ r ON r.k = pick.k JOIN rank_ w ON w.k = pick.at)",
+    _PICTURES,
+)
+def picture_copies(c):
+    """Embeddings as pictures, with changed and equal copies of some: which one each is kept as."""
+    base = c.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    shifted = lambda by, turn: F.transform("vector", lambda x, i: x + F.lit(by) * ((i + turn) % 3 - 1))
+    rows = base.unionByName(base.filter("id % 3 = 0").select((F.col("id") + 1000000).alias("id"), shifted(0.02, F.col("id")).alias("vector")))
+    rows = rows.unionByName(base.filter("id % 9 = 0").select((F.col("id") + 2000000).alias("id"), shifted(0.03, F.lit(0)).alias("vector")))
+    rows = rows.unionByName(base.filter("id % 5 = 0").select((F.col("id") + 3000000).alias("id"), "vector"))
+    return copies.best_copies(rows.withColumn("area", (F.col("id") * 37) % 101))
