@@ -2,23 +2,66 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Combining marks of letters. Fixed value.
+MARKS = "[\u0300-\u036f]"
+
+
+@functools.cache
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """By the compatibility decomposition: letters that become one plain letter or digit, those letters, and what becomes more.
+
+    Others don't matter here, as what has no plain letter or digit in it is a gap in a slug either way.
+    """
+    plain: dict[str, str] = {}
+    for k in range(0x80, sys.maxunicode + 1):
+        d = re.sub(MARKS, "", unicodedata.normalize("NFKD", chr(k)))
+        if d != chr(k) and re.search("[0-9A-Za-z]", d):
+            plain[chr(k)] = d
+    one = {c: d for c, d in plain.items() if len(d) == 1}
+    return "".join(one), "".join(one.values()), {c: d for c, d in plain.items() if len(d) > 1}
+
+
 TRACKING = "(?i)utm_(source|medium|campaign|term|content)"
 
 
+def plain_letters(name: Column) -> Column:
+    """Letters of any script's forms as their plain ones, without marks: macrons, carons, ligatures, full-width forms."""
+    single, into, several = _decomposed()
+    # the few that become several letters are looked up letter by letter, only where a text holds one
+    some = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelt = F.array_join(F.transform(F.split(name, ""), lambda c: F.coalesce(some[c], c)), "")
+    whole = F.when(name.rlike(f"[{''.join(several)}]"), spelt).otherwise(name)
+    return F.regexp_replace(F.translate(whole, single, into), MARKS, "")
+
+
 def slugify(name: Column) -> Column:
-    """Latin-1 accents dropped, lower case, one dash for each run of anything else, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.translate(name, _ACCENTED, _PLAIN)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Plain letters in lower case, one dash for each run of anything else, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(plain_letters(name)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def compact_slug(name: Column) -> Column:
+    """Plain letters in lower case and digits, nothing else."""
+    return F.regexp_replace(F.lower(plain_letters(name)), "[^a-z0-9]+", "")
 
 
 def suburb_slug(name: Column, postcode: Column) -> Column:
     return F.when(F.trim(F.coalesce(postcode, F.lit(""))) == "", slugify(name)).otherwise(F.concat_ws("-", slugify(name), F.trim(postcode)))
 
 
+def parse_suburb_slug(slug: Column) -> Column:
+    """(name_slug, postcode) of a suburb's slug; the postcode is four digits behind the last dash, else null."""
+    t, form = F.lower(F.trim(slug)), r"^(.+)-(\d{4})$"
+    return F.struct(F.when(t.rlike(form), F.regexp_extract(t, form, 1)).otherwise(t).alias("name_slug"), F.when(t.rlike(form), F.regexp_extract(t, form, 2)).alias("postcode"))
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of each alphanumeric word, padded by two spaces before and one after."""
     words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
