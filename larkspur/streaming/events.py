@@ -49,3 +49,22 @@ def fan_out(events: DataFrame, sinks: list[Callable[[DataFrame, int], None]], ch
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts by event-time window and type, with a watermark (an extension)."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def identified(events: DataFrame, insert_id: str = "insert_id") -> DataFrame:
+    """Events with an id for each delivery: their own, or a new one, so that an event without an id is never a repeat."""
+    own = F.nullif(F.trim(F.col(insert_id)), F.lit(""))
+    return events.withColumn(insert_id, F.coalesce(own, F.uuid()))
+
+
+def once(events: DataFrame, late: str = "2 hours", insert_id: str = "insert_id") -> DataFrame:
+    """A stream of events without repeated deliveries of an id, as long as they come within ``late`` of the first one.
+
+    The ids that were seen are the query's state: they go with the watermark, and come back from the checkpoint.
+    """
+    return identified(events, insert_id).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([insert_id])
+
+
+def into_table(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """All that is there now, appended to a Parquet table; a run from the same checkpoint goes on where the last one ended."""
+    return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
