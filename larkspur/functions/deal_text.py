@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .parsing import DAYS, NAME, _let, days, hours, minutes
+from .text import plain_letters
 
 #: Units that stay in lower case after a number. Fixed values.
 UNITS = ("kg", "ml", "mg", "lbs", "lb", "oz", "cl", "gm", "g", "l", "am", "pm", "pp")
@@ -226,6 +229,36 @@ def address_parts(address: Column) -> Column:
     return F.coalesce(*map(read, forms))
 
 
+#: Regions in which an address of New Zealand may lie, two of them in two spellings. Fixed values.
+REGIONS_NZ = (
+    "Manawatu-Wanganui", "Manawatū-Whanganui", "Bay of Plenty", "Hawke's Bay", "Hawkes Bay", "West Coast", "Marlborough", "Canterbury", "Southland",
+    "Northland", "Wellington", "Taranaki", "Gisborne", "Waikato", "Auckland", "Tasman", "Nelson", "Otago",
+)
+
+
+def address_parts_nz(address: Column) -> Column:
+    """(suburb, state, postcode) at the end of an address of New Zealand; state is a region or ''. Null if it has none.
+
+    Forms with a street come before those without, and a town or region behind a comma before one behind a space. An
+    address with an Australian state and postcode is none. A region is meant in any case and without its marks.
+    """
+    t, end, region = F.trim(address), r"\s+(\d{4})\s*(?:,\s*New Zealand)?\s*$", "|".join(REGIONS_NZ)
+    australian = rf"(?i)\b(?:{STATES})\s+\d{{4}}\b"
+
+    bare = {re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", r)).lower(): r for r in REGIONS_NZ}
+    regions = F.create_map(*[F.lit(x) for pair in bare.items() for x in pair])
+
+    def read(form: str, town: int | None, code: int) -> Column:
+        place = F.lit("") if town is None else F.regexp_extract(t, form, town)
+        return F.when(t.rlike(form), F.struct(F.trim(F.regexp_extract(t, form, 1)).alias("suburb"), place.alias("place"), F.regexp_extract(t, form, code).alias("postcode")))
+
+    forms = []
+    for front, whole in ((r",\s*", r",\s*([^,]+),\s*([^,]+?)"), ("^", r"^([^,]+),\s*([^,]+?)")):
+        forms += [read(whole + end, 2, 3), read(rf"{front}([^,]+?)\s+((?i){region}){end}", 2, 3), read(rf"{front}([^,]+?){end}", None, 2)]
+    state = lambda x: F.coalesce(F.try_element_at(regions, F.lower(plain_letters(F.trim(x["place"])))), F.lit(""))
+    return _let(F.when(~t.rlike(australian), F.coalesce(*forms)), lambda x: F.when(x["suburb"] != "", F.struct(x["suburb"].alias("suburb"), state(x).alias("state"), x["postcode"].alias("postcode"))))
+
+
 def thumbnail(url: Column, folder: str) -> Column:
     """The address of a numbered picture's small form; other addresses stay, blank ones are null."""
     return F.when(F.trim(url) != "", F.regexp_replace(url, rf"(?i)^([^?#]*/{folder}/\d+)\.jpe?g(?=$|[?#])", "$1-thumb.jpg"))

@@ -54,3 +54,29 @@ def worth_following(url: Column, context: Column, keywords: list[str], excluded:
     kind = source_type(url)
     said = (kind == "pdf") | (F.size(days(context)) > 0) | has_keyword(context, keywords)
     return F.coalesce((kind != "image") & ~has_keyword(context, excluded, squeezed=True) & said, F.lit(False))
+
+
+#: A link element, and one attribute of a tag. Fixed values.
+LINK_TAG = r"(?is)<link\s[^>]*>"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.coalesce(*[F.nullif(F.regexp_extract(tag, pattern, k), F.lit("")) for k in (1, 2, 3)])
+
+
+def canonical_url(html: Column, page: Column) -> Column:
+    """The first address that a page gives as its own, if it is of the page's origin; else null."""
+    tags = F.filter(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LINK_TAG), F.lit(0)), lambda t: F.array_contains(F.split(F.lower(F.coalesce(_attribute(t, "rel"), F.lit(""))), r"\s+"), "canonical"))
+    urls = F.transform(tags, lambda t: resolve_url(_attribute(t, "href"), page))
+    return F.get(F.filter(urls, lambda u: same_origin(u, page)), F.lit(0))
+
+
+#: Months in a path. Fixed values.
+MONTH_STEPS = "january|jan|february|feb|march|mar|april|apr|may|june|jun|july|jul|august|aug|september|sept|sep|october|oct|november|nov|december|dec"
+
+
+def of_a_date(url: Column) -> Column:
+    """Whether a path names a month as a step or as a part of one, or a year after 'events'."""
+    path = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1))
+    return path.rlike(rf"(?:^|[/-])(?:{MONTH_STEPS})(?:$|[/-])") | path.rlike(r"/events?/20\d\d(?:$|/)")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, parsing
+from ..functions import english, geo
 from . import search
 
 #: Most ids in an id list, and the radius of a search without one. Fixed values.
@@ -32,7 +32,8 @@ class DealFilter:
     """What a search asks for; what is None or empty is no filter.
 
     ``days`` comes before ``day``; both apply to the schedule row that the minutes apply to, and alone if the minutes are
-    no window. ``bounds`` (north, south, east, west) comes before ``suburb_id`` and turns ``near`` off.
+    no window. ``bounds`` (north, south, east, west) comes before ``suburb_id``, which comes before ``region_id``, and turns
+    ``near`` off. ``query`` holds terms with commas between them, found by their stems in title, details and conditions.
     """
 
     day: int | None = None
@@ -44,6 +45,7 @@ class DealFilter:
     ids: list[int] = field(default_factory=list)
     venue_id: int | None = None
     suburb_id: int | None = None
+    region_id: int | None = None
     exclude_suburb_id: int | None = None
     bounds: tuple[float, float, float, float] | None = None
     near: tuple[float, float] | None = None
@@ -51,6 +53,15 @@ class DealFilter:
     limit: int = 100
 
 
+#: Columns of a deal that searches read. Fixed values.
+SEARCHED = ("title", "details", "conditions")
+
+
+def with_terms(deals: DataFrame) -> DataFrame:
+    """Deals with ``terms``, the search vector of those of their columns that are searched; stored, it serves every search."""
+    return deals.withColumn("terms", english.search_vector(F.concat_ws(" ", *[c for c in SEARCHED if c in deals.columns])))
+
+
 def matching_deals(deals: DataFrame, schedules: DataFrame, f: DealFilter, today: Column | None = None) -> DataFrame:
     """Approved deals that pass the filters on deals and schedules."""
     found = search.approved(deals)
@@ -65,7 +76,8 @@ def matching_deals(deals: DataFrame, schedules: DataFrame, f: DealFilter, today:
     if f.active_at:
         timed = search.active_now(timed, schedules, *f.active_at)
     if f.query and f.query.strip():
-        timed = timed.filter(parsing.matches_query(parsing.search_words(F.col("title")), f.query))
+        read = timed if "terms" in timed.columns else with_terms(timed)
+        timed = read.filter(english.matches(F.col("terms"), f.query)).select(*timed.columns)
     if f.ids:
         timed = timed.filter(F.col("deal_id").isin(f.ids))
     return timed if f.venue_id is None else timed.filter(F.col("venue_id") == f.venue_id)
@@ -81,6 +93,8 @@ def search_deals(deals: DataFrame, venues: DataFrame, suburbs: DataFrame, schedu
         placed = placed.filter(geo.in_bounds(F.col("lat"), F.col("lng"), *f.bounds))
     elif f.suburb_id is not None:
         placed = placed.filter(F.col("suburb_id") == f.suburb_id)
+    elif f.region_id is not None:
+        placed = placed.join(suburbs.filter(F.col("region_id") == f.region_id).select("suburb_id"), "suburb_id", "left_semi")
     if f.exclude_suburb_id is not None:
         placed = placed.filter(F.col("suburb_id").isNull() | (F.col("suburb_id") != f.exclude_suburb_id))
     order, columns = [F.col("venue"), F.col("title"), F.col("deal_id")], ["deal_id", "title", "venue_id", "venue", "suburb", "schedules"]
