@@ -29,13 +29,17 @@ def fold(held_part: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, doc_id: str, text: str, lang: str) -> dict[str, list[str]]:
-    """For each language, beginnings of documents in the order of a hash, at most SAMPLE_DOCS of them."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(F.col(doc_id)) != 0)).select(F.col(lang).cast("string").alias("l"), F.substring(F.col(text), 1, SAMPLE_DOC_CHARS).alias("t"), F.col(doc_id).alias("i"))
-    known = known.filter(F.length("t") >= 1)
-    counts = known.groupBy("l").count()
-    every = F.greatest(F.lit(1), F.floor(F.col("count") / (2 * SAMPLE_DOCS))).cast("long")
-    picked = known.withColumn("h", F.xxhash64(id_text(F.col("i")), "t")).join(F.broadcast(counts), "l").filter(F.pmod(F.col("h"), every) == 0)
-    ranked = picked.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).filter(F.col("k") <= SAMPLE_DOCS)
+    """For each language, beginnings of documents in the order of their hash, at most SAMPLE_DOCS different ones.
+
+    The least hashes are chosen before any text is shuffled, and each once, so that texts that repeat neither crowd out
+    others nor decide whether a language is learned.
+    """
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(F.col(doc_id)) != 0)).select(F.col(lang).cast("string").alias("l"), F.substring(F.col(text), 1, SAMPLE_DOC_CHARS).alias("t"))
+    known = known.filter(F.length("t") >= 1).withColumn("h", F.xxhash64("t"))
+    least = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    chosen = known.select("l", "h").distinct().withColumn("k", least).filter(F.col("k") <= SAMPLE_DOCS)
+    # SAMPLE_DOCS rows of two numbers for each language
+    ranked = known.join(F.broadcast(chosen), ["l", "h"]).groupBy("l", "k").agg(F.min("t").alias("t"))
     out: dict[str, list[str]] = {}
     for row in ranked.select("l", "k", "t").orderBy("l", "k").collect():
         out.setdefault(row["l"], []).append(row["t"])

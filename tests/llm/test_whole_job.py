@@ -128,3 +128,13 @@ def test_inheritance_against_brute_force(spark):
         assert got[k]["is_license_file"] == path.endswith("LICENSE")
         assert (got[k]["inherited"], got[k]["from_dir"]) == (inherited, folder if inherited else None)
         assert got[k]["effective"] == (got[k]["license"] or inherited)
+
+
+def test_languages_of_repeated_rows_are_learned(spark):
+    from larkspur.llm import langid
+
+    rows = [(k, "zwei drei vier fünf sechs sieben acht", "de") for k in range(1, 1200)] + [(5000 + k, " ".join(f"word{(k * j) % 17} other" for j in range(30)), "en") for k in range(400)] + [(9000, "uno dos tres cuatro", "es")] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.labelled_sample(docs, "doc_id", "text", "lang")
+    assert sample["de"] == [rows[0][1]] and len(sample["en"]) == min(langid.SAMPLE_DOCS, len({r[1] for r in rows if r[2] == "en"}))
+    assert len(set(sample["en"])) == len(sample["en"]) and sample.get("es", ["uno dos tres cuatro"]) == ["uno dos tres cuatro"]
