@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 
 def watermark(runs: DataFrame, by: str = "started_at") -> Column | None:
     """The last finished run's start, None without one: everything is read then. Rows that change during a run are read
@@ -44,10 +46,11 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], surrogate:
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Numbers rows from 1 in order: ranges are sorted apart, and each starts after the rows of those before."""
-    from pyspark.sql import Window
+    """Numbers rows from 1 in order: ranges are sorted apart, and each starts after the rows of those before.
 
-    ranged = rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order]).withColumn("_p", F.spark_partition_id())
+    The ranges are stored, so that counting and numbering see the same ones even if an executor is lost in between.
+    """
+    ranged = stored(rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn("_p", F.spark_partition_id()), "numbered")
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     within = F.row_number().over(Window.partitionBy("_p").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
