@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import backoff
 from .bytesarr import BASE, column_bytes, mix, words
 from .common import id_text, stored
 
@@ -120,10 +121,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``block_bytes`` should grow with the corpus (64 MB for 100 TB makes 1.6 million entries); a block takes about 100
     bytes of memory for each of its words, as does a single longer text.
 
-    score is the walk of a weighted backoff automaton whose states are the n-grams: a state h, seen n(h) times, has an arc
-    for each w after it with n(hw) / (n(h) + PRIOR), and a failure arc to the state without h's first word with
-    PRIOR / (n(h) + PRIOR); w's probability is the sum of both ways. A state that the training part has not fails at no
-    cost. Scores don't depend on how rows are dealt.
+    score is the walk of a weighted backoff automaton (see ``backoff``): its states are the block's n-grams that training
+    has, with an arc for each word after them that training has, and a failure arc to the state without the first word.
+    The walk goes from left to right and carries its state. Scores don't depend on how rows are dealt.
 
     A null or empty text has the end alone. Without training documents every count is 0. Repeated rows are scored each
     (and counted each); there are no ties to break; other columns are ignored; an empty table gives an empty result.
@@ -131,7 +131,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), (F.crc32(id_text(F.col(doc_id))) % 5 != 1).alias("train"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
-    bits = math.ceil(math.log2(blocks)) + 1
+    bits = max(1, math.ceil(math.log2(blocks)) - 1)
     dealt = source.withColumn("block", F.pmod(F.xxhash64(id_text(F.col("doc_id")), F.coalesce("t", F.lit(""))), F.lit(blocks)).cast("int"))
     counts = dealt.groupBy("block").applyInArrow(lambda table: _block_counts(table, order, bits), COUNTS)
     merged = stored(counts.groupBy("words", "part").applyInArrow(_merge_counts, TOTALS), "lm-counts")
@@ -145,22 +145,28 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         length, part = (totals.column(c).to_numpy() for c in ("words", "part"))
         n_rows = texts.num_rows
         add = lambda x: np.bincount(rows, weights=x, minlength=n_rows)
+        tables: list[backoff.Grams] = []
         for k, (at, grams, context) in enumerate(_all_grams(hashes, rows, order), 1):
             mine = np.flatnonzero(length == k)
             count = np.concatenate([np.zeros(0, np.uint64), *(unpack(totals.column("totals")[int(x)].as_py()) for x in mine[np.argsort(part[mine])])]).astype(np.float64)
-            now, which = np.unique(grams, return_inverse=True)
+            now, first, which = np.unique(grams, return_index=True, return_inverse=True)
             if k == 1:
-                likely = ((count + 0.5) / (total + 0.5 * (types + 1)))[which]
-                seen, unigram = add(count[which] > 0), add(np.log10(likely))
+                token = which
+                tables.append(backoff.Grams(count, np.zeros(0, int), np.zeros(0, int), np.arange(len(now))))
             else:
-                # each context is an n-gram of the block too, one word shorter
-                times = before[np.searchsorted(known, context)]
-                likely[at] = np.where(times > 0, (count[which] + PRIOR * likely[at]) / (times + PRIOR), likely[at])
-            known, before = now, count
+                # the context is an n-gram of the block too, one word shorter, and so is the ending, at the same place
+                tables.append(backoff.Grams(count, np.searchsorted(known, context[first]), before[at[first]], token[at[first]]))
+            known, before = now, np.zeros(len(hashes), int)
+            before[at] = which
+        root = (tables[0].count + 0.5) / (total + 0.5 * (types + 1))
+        seen, unigram = add(tables[0].count[token] > 0), add(np.log10(root)[token])
+        # END is the least hash and ends every text
+        machine = backoff.build(tables, root, PRIOR, 0)
+        scores = backoff.walk(machine, token, np.bincount(rows, minlength=n_rows), order)
         train = texts.column("train").to_numpy(zero_copy_only=False)
         return pa.table([
             texts.column("doc_id"), pa.array(~train.astype(bool), pa.bool_()), pa.array(np.bincount(rows, minlength=n_rows), pa.int64()), pa.array(seen.astype(np.int64)),
-            pa.array(np.full(n_rows, total), pa.int64()), pa.array(unigram), pa.array(add(np.log10(likely))),
+            pa.array(np.full(n_rows, total), pa.int64()), pa.array(unigram), pa.array(scores),
         ], names=names)
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
