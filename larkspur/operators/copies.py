@@ -16,7 +16,7 @@ from ..sources.stored import stored
 #: Two vectors are near at this distance. Fixed value.
 NEAR = 0.35
 #: Rows that chance alone should put into one bucket, and the share of pairs at the threshold that may meet in none.
-PER_BUCKET, MISSED = 0.25, 0.01
+PER_BUCKET, MISSED = 1 / 16, 0.02
 
 
 def tables_for(n: int, near: float = NEAR) -> tuple[int, int]:
@@ -70,7 +70,12 @@ def best_copies(rows: DataFrame, near: float = NEAR) -> DataFrame:
     firsts = some.groupBy("vector").agg(F.max(order).alias("first"))
     bits, tables = tables_for(firsts.count(), near)
     left = stored(buckets(firsts.select((-F.col("first.id")).alias("id"), "first", "vector"), "vector", bits, tables), "copies-buckets")
-    vectors, every, kept = left.select("id", "vector"), left.select("id", "first", "buckets"), []
+    vectors, kept = left.select("id", "vector"), []
+    # buckets of one row part nothing; with so few rows to a bucket that leaves little of all tables' entries
+    entries = left.select("id", "first", F.explode("buckets").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    each = entries.join(shared, "bucket").groupBy("id", "first").agg(F.collect_list("bucket").alias("buckets"))
+    every = stored(left.select("id", "first").join(each.select("id", "buckets"), "id", "left").withColumn("buckets", F.coalesce("buckets", F.array().cast("array<long>"))), "copies-shared")
 
     def met(leaders: DataFrame, among: DataFrame) -> DataFrame:
         """(id, first) of rows near one of the leaders, with each such leader's place in the order."""
@@ -84,8 +89,9 @@ def best_copies(rows: DataFrame, near: float = NEAR) -> DataFrame:
     undecided = every
     while not undecided.isEmpty():
         each = undecided.select("first", F.explode("buckets").alias("bucket"))
-        leaders = each.groupBy("bucket").agg(F.max("first").alias("first")).groupBy("first").agg(F.count("*").alias("led")).filter(F.col("led") == tables)
-        now = stored(undecided.join(leaders.select("first"), "first", "left_semi"), "copies-kept")
+        leaders = each.groupBy("bucket").agg(F.max("first").alias("first")).groupBy("first").agg(F.count("*").alias("led"))
+        now = undecided.join(leaders, "first", "left").filter(F.coalesce("led", F.lit(0)) == F.size("buckets")).select(*undecided.columns)
+        now = stored(now, "copies-kept")
         kept.append(now)
         gone = met(now, undecided).select("id").union(now.select("id")).distinct()
         undecided = stored(undecided.join(gone, "id", "left_anti"), "copies-left")
