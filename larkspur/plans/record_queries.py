@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import deal_text, links, payloads, titles
-from ..operators import catalogue, deal_search, facts, search, sets, stats
+from ..operators import catalogue, deal_search, facts, search, sets, stats, sync
 from .queries import _COUNTS, _found_sql, query
 
 
@@ -206,8 +206,8 @@ def suburb_list(c):
     has = lambda column, part: F.contains(F.lower(column), F.lit(part))
     found = rows.filter(has("suburb", "ion_1") | has("postcode", "00") | has("state", "s1"))
     counted = found.join(c.venue.groupBy("suburb_id").agg(F.count("*").alias("n")), "suburb_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    order = Window.orderBy(F.col("n").desc(), F.lower("suburb"), F.coalesce(F.when(k % 3 > 0, F.col("postcode")), F.lit("")), "suburb_id")
-    return counted.select("suburb_id", F.row_number().over(order).alias("place"))
+    keyed = counted.select("suburb_id", (-F.col("n")).alias("less"), F.lower("suburb").alias("low"), F.coalesce(F.when(k % 3 > 0, F.col("postcode")), F.lit("")).alias("code"))
+    return sync.numbered(keyed, ["less", "low", "code", "suburb_id"], "place").select("suburb_id", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT event_type, event_id, place FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC)::INT AS place FROM event_) WHERE place <= 5")
