@@ -35,3 +35,7 @@ def test_pairs_within(spark, most):
 
 def test_all_neighbours_need_no_nested_loop(spark):
     assert "NestedLoop" not in plan(QUERIES["vector_neighbours_all"](spark, FOLDER))
+
+
+def test_neighbours_of_a_label_are_not_joined_by_it(spark):
+    assert "Join" not in plan(QUERIES["vector_neighbours"](spark, FOLDER))
