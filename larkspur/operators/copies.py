@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stored import stored
+from .near import earliest, having_earlier, usable
+from .sync import numbered
 
 #: Two vectors are near at this distance. Fixed value.
 NEAR = 0.35
@@ -49,56 +50,38 @@ def buckets(rows: DataFrame, vector: str, bits: int, tables: int) -> DataFrame:
     return rows.mapInArrow(sides, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept)}, buckets array<long>")
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-
 def best_copies(rows: DataFrame, near: float = NEAR) -> DataFrame:
     """(id, keeper) of rows (id, area, vector): a row's keeper is the first kept one that it is near, itself if it is kept.
 
-    Rows come by falling area, then by id, and are kept if no kept one before them is near. Vectors are unit vectors of
-    one length or several; null ones are kept. Equal vectors are compared once. A pair meets in a bucket of random planes
-    with at least 1 - MISSED at the threshold, and more surely the nearer it is; what meets is verified.
+    Rows come by falling area, then by id, and are kept if no kept one before them is near. Vectors are of one length or
+    several; null ones are kept. Equal vectors are compared once. All others are compared exactly, in blocks.
 
-    In rounds: a row that is first in all of its buckets is kept, and rows near it go. So a group of copies costs a
-    row each in a round, not all of its pairs, and the first row of all is always settled. Rounds are stored tables.
+    In rounds: a row that has no undecided one before it within ``near`` is kept, and rows near it go. So a group of copies
+    costs a row each in a round, not all of its pairs, and the first row of all is always settled. Rounds are stored tables.
     """
     order = F.struct("area", (-F.col("id")).alias("id"))
     given = stored(rows.select("id", F.col("area").cast("double").alias("area"), F.col("vector").cast("array<double>").alias("vector")), "copies-rows")
     some = given.filter(F.col("vector").isNotNull())
-    # of equal vectors the first stands for all
-    firsts = some.groupBy("vector").agg(F.max(order).alias("first"))
-    bits, tables = tables_for(firsts.count(), near)
-    left = stored(buckets(firsts.select((-F.col("first.id")).alias("id"), "first", "vector"), "vector", bits, tables), "copies-buckets")
-    vectors, kept = left.select("id", "vector"), []
-    # buckets of one row part nothing; with so few rows to a bucket that leaves little of all tables' entries
-    entries = left.select("id", "first", F.explode("buckets").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    each = entries.join(shared, "bucket").groupBy("id", "first").agg(F.collect_list("bucket").alias("buckets"))
-    every = stored(left.select("id", "first").join(each.select("id", "buckets"), "id", "left").withColumn("buckets", F.coalesce("buckets", F.array().cast("array<long>"))), "copies-shared")
-
-    def met(leaders: DataFrame, among: DataFrame) -> DataFrame:
-        """(id, first) of rows near one of the leaders, with each such leader's place in the order."""
-        a = leaders.select(F.col("first").alias("leader"), F.explode("buckets").alias("bucket"))
-        b = among.select("id", "first", F.explode("buckets").alias("bucket"))
-        pairs = a.join(b, "bucket").filter(F.col("leader") > F.col("first")).select("leader", "id").distinct()
-        with_both = pairs.join(vectors, "id").join(vectors.select((-F.col("id")).alias("minus"), F.col("vector").alias("other")), F.col("leader.id") == F.col("minus"))
-        close = (F.size("vector") == F.size("other")) & (distance(F.col("vector"), F.col("other")) <= near)
-        return with_both.filter(close).select("id", "leader")
-
-    undecided = every
+    # of equal vectors the first stands for all; places in the order are numbers
+    firsts = some.groupBy("vector").agg(F.max(order).alias("first")).select((-F.col("first.id")).alias("id"), "first.area", "vector")
+    sorted_ = firsts.select("id", "vector", F.col("area").isNull().alias("_none"), (~F.isnan("area")).alias("_number"), (-F.col("area")).alias("_area"))
+    placed = stored(numbered(sorted_, ["_none", "_number", "_area", "id"], "place").select("place", "id", "vector"), "copies-firsts")
+    every = placed.filter(usable(F.col("vector"))).select(F.col("place").alias("id"), "vector")
+    undecided, gone = every, None
     while not undecided.isEmpty():
-        each = undecided.select("first", F.explode("buckets").alias("bucket"))
-        leaders = each.groupBy("bucket").agg(F.max("first").alias("first")).groupBy("first").agg(F.count("*").alias("led"))
-        now = undecided.join(leaders, "first", "left").filter(F.coalesce("led", F.lit(0)) == F.size("buckets")).select(*undecided.columns)
-        now = stored(now, "copies-kept")
-        kept.append(now)
-        gone = met(now, undecided).select("id").union(now.select("id")).distinct()
-        undecided = stored(undecided.join(gone, "id", "left_anti"), "copies-left")
-    if not kept:
-        return given.select("id", F.col("id").alias("keeper"))
-    stay = reduce(DataFrame.unionByName, kept)
-    found = met(stay, every.join(stay.select("id"), "id", "left_anti")).groupBy("id").agg(F.max("leader").alias("leader"))
-    whose = every.join(found, "id", "left").select((-F.coalesce("leader.id", "first.id")).alias("keeper"), "id")
-    named = vectors.join(whose, "id").select("vector", "keeper")
+        blocked = stored(having_earlier(undecided, near), "copies-blocked")
+        kept = undecided.join(blocked, "id", "left_anti")
+        # rows that went before may be near a kept one that comes earlier than theirs
+        rest = undecided.join(blocked, "id", "left_semi")
+        asked = rest if gone is None else rest.unionByName(every.join(gone.select("id"), "id", "left_semi"))
+        found = earliest(asked, kept, near)
+        if gone is not None:
+            found = found.unionByName(gone).groupBy("id").agg(F.min("leader").alias("leader"))
+        gone = stored(found, "copies-gone")
+        undecided = stored(rest.join(gone.select("id"), "id", "left_anti"), "copies-left")
+    if gone is None:
+        gone = every.select("id", F.col("id").alias("leader"))
+    leaders = placed.select(F.col("place").alias("leader"), F.col("id").alias("keeper"))
+    named = placed.select(F.col("place").alias("_place"), "id", "vector").join(gone.withColumnRenamed("id", "_place"), "_place", "left")
+    named = named.join(leaders, "leader", "left").select("vector", F.coalesce("keeper", "id").alias("keeper"))
     return given.join(named, "vector", "left").select("id", F.coalesce("keeper", "id").alias("keeper"))

@@ -59,3 +59,23 @@ def test_no_rows(spark):
     assert copies.best_copies(none).count() == 0
     one = spark.createDataFrame([(1, 1, None)], "id long, area int, vector array<float>")
     assert [tuple(r) for r in copies.best_copies(one).collect()] == [(1, 1)]
+
+
+def test_every_near_pair_counts(spark):
+    """Copies at the threshold, of which chance would miss some, with chains whose middles go."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(700, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = r.normal(size=x.shape)
+    side -= (side * x).sum(1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    angle = 2 * np.arcsin(copies.NEAR / 2) * 0.999
+    rows = [(5000 * s + i, int((i * 7 + s) % 5), (np.cos(s * angle) * v + np.sin(s * angle) * w).tolist()) for s in range(4) for i, (v, w) in enumerate(zip(x, side))]
+    got = {a.id: a.keeper for a in copies.best_copies(spark.createDataFrame(rows, "id long, area int, vector array<double>")).collect()}
+    assert got == plain(rows, copies.NEAR)
+
+
+def test_repeated_ids(spark):
+    rows = [(1, 5, [1.0, 0.0]), (1, 5, [0.0, 1.0]), (2, 4, [0.999, 0.001]), (3, 4, [0.001, 0.999]), (4, 4, [-1.0, 0.0])]
+    got = sorted((a.id, a.keeper) for a in copies.best_copies(spark.createDataFrame(rows, "id long, area int, vector array<double>")).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
