@@ -151,5 +151,4 @@ def trimmed_titles(c):
 @query()
 def text_search_stems(c):
     """Documents by stems: a word in any form, or a phrase around stop words."""
-    vector = english.search_vector("text")
-    return c.table("documents").select("doc_id", vector.alias("v")).filter(english.matches(F.col("v"), "licenses, contacted, notice of copyright")).select("doc_id")
+    return english.search(c.table("documents").select("doc_id", "text"), "text", "licenses, contacted, notice of copyright").select("doc_id")
