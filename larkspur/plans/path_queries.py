@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..operators import areas, crawl, site_maps, suggest
+from ..sources.stored import spread
 from .queries import query
 
 #: Products that paths may name, by kinds and colours of the tables' parts, with other ways of writing them.
@@ -22,10 +23,16 @@ one_ AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN 'nearby' ELSE
 path_ AS (SELECT *, '/' || upper(place) || coalesce('-' || hung, '') || CASE WHEN day IS NOT NULL OR len(what) > 0 THEN '/' || array_to_string(list_filter([day] || what, lambda x: x IS NOT NULL), '-') ELSE '' END || CASE WHEN map THEN '/map' ELSE '' END || CASE WHEN more THEN '/x' ELSE '' END AS path FROM one_)"""
 
 
+def _placed(c):
+    """Customers with their nation's name, dealt out before paths are written and read."""
+    customers = spread(c.table("customer").select("c_custkey", "c_name", "c_nationkey"))
+    return customers.join(F.broadcast(c.table("nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))  # nations are few
+
+
 def _shown(c):
     k = F.col("c_custkey")
     day = lambda n: F.get(F.array(*[F.lit(d) for d in paths.WEEK]), (k % n).cast("int"))
-    rows = c.table("customer").join(c.table("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = _placed(c)
     place = F.when(k % 11 == 0, paths.NEARBY).otherwise(text.suburb_slug(F.col("n_name"), F.when(k % 2 == 0, (F.col("n_nationkey") + 2000).cast("string"))))
     parts = F.array_compact(F.concat(F.array(F.when(k % 3 == 0, day(6))), F.when(k % 4 == 1, F.array(F.lit("economy"))).when(k % 4 == 2, F.array(F.lit("cheap"), F.lit("promo"))).when(k % 4 == 3, F.array(F.lit("big"), F.lit("unheard"))).otherwise(F.array().cast("array<string>"))))
     first = F.concat(F.lit("/"), F.upper(place), F.when(k % 5 == 1, F.concat(F.lit("-"), day(7))).otherwise(""))
@@ -79,7 +86,7 @@ _VENUE_PATH = f"'https://s.example/' || {_SLUG.format('n_name')} || '/' || {_SLU
 def site_map_round_trip(c):
     """Venues' addresses written to site maps of 40 each, with an index over them, and found again by a walk from the index."""
     k = F.col("c_custkey")
-    rows = c.table("customer").join(c.table("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = _placed(c)
     name = F.when(k % 4 == 0, F.concat(F.lit("The Local "), k % 50)).otherwise(F.col("c_name"))
     url = F.concat(F.lit("https://s.example"), paths.venue_path(F.col("n_name"), name), F.lit("?a="), k % 3, F.lit("&b=<1>"))
     listed = rows.select(url.alias("loc")).withColumn("n", F.count("*").over(Window.partitionBy("loc"))).filter("n = 1")

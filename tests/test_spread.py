@@ -15,6 +15,11 @@ def test_many_tasks(spark, name):
     assert QUERIES[name](spark, FOLDER).rdd.getNumPartitions() >= tasks(spark)
 
 
+@pytest.mark.parametrize("name", ["unique_slugs", "paths_read", "paths_written"])
+def test_dealt_out_before_the_work(spark, name):
+    assert "REPARTITION_BY_NUM" in QUERIES[name](spark, FOLDER)._jdf.queryExecution().toString()
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
