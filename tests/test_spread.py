@@ -37,3 +37,8 @@ def test_name_pairs(spark, monkeypatch):
     got = {(r.id, r.other_id): None if r.similarity is None else round(r.similarity, 9) for r in search.name_pairs(df.filter("id % 3 = 0"), df, "place").collect()}
     both = lambda a, b: None if a is None or b is None else round(1 - plain_distance(a, b) / max(len(a), len(b)), 9)
     assert got == {(i, j): both(a, b) for i, a, p in rows if i % 3 == 0 for j, b, q in rows if i < j and p == q and p}
+
+
+def test_fuzzy_scores_are_made_where_names_were_dealt(spark):
+    plan = QUERIES["venue_fuzzy_search"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.find("Generate") < plan.find("RepartitionByExpression") and "array_intersect" not in plan[plan.find("RepartitionByExpression") :]
