@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phrases
 from ..operators import deals
+from ..sources.stored import spread
 from .queries import query
 
 _HALF = "CASE WHEN {0} < 12 THEN {0} || 'am' WHEN {0} = 12 THEN '12pm' ELSE ({0} - 12) || 'pm' END"
@@ -48,7 +49,7 @@ def processed_deals(c):
     k = F.col("p_partkey")
     pick = lambda n, *values: F.get(F.array(*[F.lit(v) for v in values]), (k % n).cast("int"))
     none = F.array().cast("array<string>")
-    raw = c.table("part").select(
+    raw = spread(c.table("part").select("p_partkey", "p_name", "p_type", "p_size")).select(
         "p_partkey", F.upper("p_name").alias("title"), F.array(F.concat(F.lit("$"), "p_size"), F.concat(F.lit("WITH "), F.upper("p_type")), F.upper("p_name")).alias("details"),
         F.when(k % 3 == 0, F.array(F.lit("* dine in only"), F.lit("Dine IN only"))).when(k % 11 == 0, F.array(F.lit("second Friday of each month"))).otherwise(none).alias("conditions"),
         F.array(pick(7, "every Monday", "TUES", "Wed", "thursday", "fri", "saturday", "")).alias("days"), F.array(pick(4, "till 9pm", "5pm-8pm", "all day", "")).alias("times"),

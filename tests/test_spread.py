@@ -42,3 +42,12 @@ def test_name_pairs(spark, monkeypatch):
 def test_fuzzy_scores_are_made_where_names_were_dealt(spark):
     plan = QUERIES["venue_fuzzy_search"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.find("Generate") < plan.find("RepartitionByExpression") and "array_intersect" not in plan[plan.find("RepartitionByExpression") :]
+
+
+def optimized(spark, name):
+    return QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_processed_deals_are_dealt_out_before_the_work(spark):
+    plan = optimized(spark, "processed_deals")
+    assert "RepartitionByExpression" in plan and "Generate" not in plan[plan.find("RepartitionByExpression") :]
