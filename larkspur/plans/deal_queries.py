@@ -30,7 +30,8 @@ def time_phrases(c):
         F.concat(F.lit("between "), thirty, F.lit(" to "), y), F.concat(F.lit("ARRIVE AT "), x, F.lit(" for a start")), F.concat(F.lit("Happy hour "), x, F.lit(" to "), y), F.concat(F.lit("from "), x), F.lit("ALL DAY"), F.concat(F.lit("Sold from "), x, F.lit(" drawn at "), y),
     ]
     said = F.get(F.array(*ways), F.col("shape"))
-    read = rows.select(said.alias("phrase"), "n")
+    # from a generator: a filter that the planner makes of what is read from a phrase would go to each line else
+    read = rows.select(F.explode(F.array(said)).alias("phrase"), "n")
     times = read.select("phrase").distinct().select("phrase", F.explode(phrases.parse_times(F.array("phrase"))).alias("t"))
     return read.join(times, "phrase").select("phrase", "t.kind", "t.start", "t.end", "n")
 

@@ -51,3 +51,8 @@ def optimized(spark, name):
 def test_processed_deals_are_dealt_out_before_the_work(spark):
     plan = optimized(spark, "processed_deals")
     assert "RepartitionByExpression" in plan and "Generate" not in plan[plan.find("RepartitionByExpression") :]
+
+
+def test_phrases_are_not_read_where_lines_are(spark):
+    of_lines = [x for x in optimized(spark, "time_phrases").splitlines() if "l_quantity" in x]
+    assert of_lines and not any("regexp" in x or "RLIKE" in x for x in of_lines)
