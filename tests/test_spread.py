@@ -56,3 +56,9 @@ def test_processed_deals_are_dealt_out_before_the_work(spark):
 def test_phrases_are_not_read_where_lines_are(spark):
     of_lines = [x for x in optimized(spark, "time_phrases").splitlines() if "l_quantity" in x]
     assert of_lines and not any("regexp" in x or "RLIKE" in x for x in of_lines)
+
+
+def test_clamped_schedules_are_dealt_to_many_tasks(spark):
+    df = QUERIES["clamp_to_hours"](spark, FOLDER)
+    assert "BroadcastHashJoin LeftOuter" not in " ".join(df._jdf.queryExecution().executedPlan().toString().replace(",", "").split()) and "strategy=merge" in df._jdf.queryExecution().analyzed().toString()
+    assert df.rdd.getNumPartitions() >= tasks(spark)
