@@ -16,17 +16,24 @@ from ..functions.parsing import _let
 SHORT = 30
 #: An item of a gallery that a page carries as text. Fixed value.
 GALLERY = r'"description":"((?:\\.|[^"\\])*)"\s*,\s*"title":"((?:\\.|[^"\\])*)"'
+#: Bytes of an Arrow batch that goes to a Python worker; pages of one that comes back.
+BATCH_BYTES, PAGES = 4 << 20, 64
 _SEGMENTS = "page_id long, url string, html string, segments array<struct<kind:string,text:string,href:string>>"
 
 
 def page_segments(pages: DataFrame) -> DataFrame:
-    """Pages (page_id, url, html) with their ``segments``, page by page; nothing is shuffled."""
+    """Pages (page_id, url, html) with their ``segments``, page by page; nothing is shuffled.
+
+    Batches are bounded by bytes on their way in and by pages on their way out, however many pages a task has.
+    """
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("href", pa.string())]))
         for batch in batches:
-            found = [[dict(zip(("kind", "text", "href"), s, strict=True)) for s in elements.segments(h)] for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "html")), pa.array(found, kind)], ["page_id", "url", "html", "segments"])
+            for part in (batch.slice(at, PAGES) for at in range(0, batch.num_rows, PAGES)):
+                found = [[dict(zip(("kind", "text", "href"), s, strict=True)) for s in elements.segments(h)] for h in part.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "html")), pa.array(found, kind)], ["page_id", "url", "html", "segments"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(read, _SEGMENTS)
 

@@ -47,3 +47,11 @@ def test_all_given_pages(spark):
     got = blocks.content_blocks(pages)
     assert got.select("page_id").distinct().count() >= 0.9 * pages.count()
     assert got.filter("title IS NULL AND text = '' AND size(links) = 0").count() == 0
+
+
+def test_batches_of_pages_are_bounded(spark):
+    rows = spark.range(0, 300, 1, 1).selectExpr("id AS page_id", "'https://a.example' AS url", "concat('<body><p>Pie and mash on Mondays, all day long, for ', id, '</p></body>') AS html")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = blocks.page_segments(rows).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(blocks.BATCH_BYTES) and blocks.PAGES < 300
+    assert [(r.page_id, [s.text for s in r.segments]) for r in got] == [(k, [f"Pie and mash on Mondays, all day long, for {k}"]) for k in range(300)]
