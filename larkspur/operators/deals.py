@@ -204,8 +204,10 @@ CONDENSED = "venue_id long, deal_id long, title string, details string, conditio
 def _narrowest(schedules: list[Row]) -> list[Row]:
     """Schedules, each once, without those that hold another one of their day and more."""
     spans = merged([(s["day"], s["start"], s["end"]) for s in schedules])
-    inside = lambda a, b: a != b and a[0] == b[0] and b[1] <= a[1] and a[2] <= b[2]
-    return [dict(zip(("day", "start", "end"), s, strict=True)) for s in spans if not any(inside(t, s) for t in spans)]
+    of_day: dict[int | None, list[tuple]] = {}
+    for s in spans:
+        of_day.setdefault(s[0], []).append(s)
+    return [{"day": s[0], "start": s[1], "end": s[2]} for s in spans if not any(t != s and s[1] <= t[1] and t[2] <= s[2] for t in of_day[s[0]])]
 
 
 def _venue_fold(keywords: Sequence[str]) -> FirstFit:

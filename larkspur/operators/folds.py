@@ -36,14 +36,16 @@ class FirstFit:
         return heap[0] if heap else None
 
     def add(self, row: Row) -> None:
-        at = min((k for k in map(self._first, self._wanted(row)) if k is not None), default=None)
+        wanted = self._wanted(row)
+        at = min((k for k in map(self._first, wanted) if k is not None), default=None)
         if at is None:
             at = len(self.items)
             self.items.append(row)
             self._now.append(set())
+            has = wanted if self._keys is self._wanted else self._keys(row)
         else:
             self.items[at] = self._merge(self.items[at], row)
-        has = self._keys(self.items[at])
+            has = self._keys(self.items[at])
         for key in has - self._now[at]:
             heapq.heappush(self._heaps.setdefault(key, []), at)
         self._now[at] = has

@@ -152,3 +152,12 @@ def test_stale_keys_of_first_fit():
     for k, w in ((1, 0), (2, 1), (1, 1), (1, 2)):
         fold.add({"k": k, "w": w})
     assert [i["k"] for i in fold.items] == [1, 1]
+
+
+def test_keys_of_a_row_that_stays_are_made_once():
+    asked = []
+    keys = lambda r: asked.append(r["k"]) or {r["k"]}
+    fold = FirstFit(keys, keys, lambda a, b: a)
+    for k in (1, 2, 1):
+        fold.add({"k": k})
+    assert [i["k"] for i in fold.items] == [1, 2] and asked == [1, 2, 1, 1]
