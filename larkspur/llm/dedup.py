@@ -26,8 +26,10 @@ SHARD_PIECES = 1024
 SPREAD = 4096
 #: Bytes that are scanned for anchors at once.
 SCAN = 1 << 18
+#: Stands for the core in a piece's data, so that a passage is PIECE bytes there; UTF-8 has no byte 254.
+CORE_MARK = b"\xfe"
 
-REF = "core long, piece long, th long, start int, n int"
+REF = "core long, piece long, th long, start int, n int, before int"
 
 
 class PieceHash:
@@ -58,7 +60,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each piece of starts whose anchor is given: the hash of what they have in common and of the whole."""
+    """A row for each piece of starts whose anchor is given: the hash of what they have in common and of the whole.
+
+    ``before`` counts the piece's bytes before its core; pieces that differ in it are different.
+    """
     for batch in batches:
         buf, offsets = column_bytes(batch.column("t"))
         th = batch.column("th").to_numpy()
@@ -82,32 +87,37 @@ def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lo, hi = np.maximum(low, begin)[used], np.minimum(low + PIECE + LENGTH - 1, stop)[used]
                 found.append(np.stack([row[used], lo, hi, low[used]]))
             row, lo, hi, low = np.unique(np.concatenate(found, 1), axis=1)
+            before = low + PIECE - 1 - lo
+            piece = mix(hash_of(lo, hi) + before.astype(np.uint64))
             yield pa.RecordBatch.from_arrays([
-                pa.array(hash_of(low + PIECE - 1, low + LENGTH).view(np.int64)), pa.array(hash_of(lo, hi).view(np.int64)), pa.array(th[row]),
-                pa.array((lo + a - offsets[row]).astype(np.int32)), pa.array((hi - lo).astype(np.int32)),
-            ], ["core", "piece", "th", "start", "n"])
+                pa.array(hash_of(low + PIECE - 1, low + LENGTH).view(np.int64)), pa.array(piece.view(np.int64)), pa.array(th[row]),
+                pa.array((lo + a - offsets[row]).astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array(before.astype(np.int32)),
+            ], ["core", "piece", "th", "start", "n", "before"])
 
 
 BYTES = "core long, piece long, th long, start int, kinds long, copies long, data binary"
 
 
 def _piece_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of pieces, with CORE_MARK in place of their cores."""
     for batch in batches:
         buf, offsets = column_bytes(batch.column("t"))
         whole = buf.tobytes()
         refs = batch.column("refs")
         row = np.repeat(np.arange(len(refs)), pa.compute.list_value_length(refs).fill_null(0).to_numpy())
         flat = refs.flatten()
-        core, piece, start, n, kinds, copies = (flat.field(c).to_numpy() for c in ("core", "piece", "start", "n", "kinds", "copies"))
+        core, piece, start, n, before, kinds, copies = (flat.field(c).to_numpy() for c in ("core", "piece", "start", "n", "before", "kinds", "copies"))
         at = offsets[row] + start
-        data = [whole[x : x + m] for x, m in zip(at.tolist(), n.tolist(), strict=True)]
+        middle = at + before
+        data = [whole[x:y] + CORE_MARK + whole[y + CORE : z] for x, y, z in zip(at.tolist(), middle.tolist(), (at + n).tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(piece), pa.array(batch.column("th").to_numpy()[row]), pa.array(start), pa.array(kinds), pa.array(copies), pa.array(data, pa.binary())], ["core", "piece", "th", "start", "kinds", "copies", "data"])
 
 
 def passage_classes(data: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From one suffix array over all pieces: piece, place and class of every start with LENGTH bytes after it.
+    """From one suffix array over all pieces: piece, place and class of every start of a passage.
 
-    Two starts are in one class if their LENGTH bytes are equal; classes are numbered in the order of these bytes.
+    A passage is PIECE bytes of its piece's data, as CORE_MARK stands for its core. Two starts are in one class if these
+    are equal, which makes equal passages of starts with one core; classes are numbered in the order of these bytes.
     """
     buf, offsets = column_bytes(data)
     n = np.diff(offsets)
@@ -116,12 +126,12 @@ def passage_classes(data: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     row = np.repeat(np.arange(len(n)), n)
     at = np.arange(len(buf)) + row
     symbols[at] = buf + np.uint8(1)  # UTF-8 has no byte 255
-    order = suffix_array(symbols, LENGTH + PIECE)
-    common = kasai(symbols, order, starts, starts + n, LENGTH)
+    order = suffix_array(symbols, 2 * PIECE)  # as long as any piece with the zero after it
+    common = kasai(symbols, order, starts, starts + n - PIECE + 1, PIECE)  # shorter suffixes hold no passage
     rank = np.empty(len(symbols), np.int32)
-    rank[order] = np.cumsum(common[order] < LENGTH)
+    rank[order] = np.cumsum(common[order] < PIECE)
     place = at - starts[row]
-    whole = place + LENGTH <= n[row]
+    whole = place + PIECE <= n[row]
     return row[whole], place[whole], rank[at[whole]]
 
 
@@ -176,7 +186,7 @@ def _sorted_run(table: pa.Table) -> pa.Table:
     buf, offsets = column_bytes(column)
     at = offsets[owner] + place
     return pa.table({
-        "passage": PieceHash(buf)(at, at + LENGTH).view(np.int64), "run": run[owner], "core": core[owner], "piece": piece[owner],
+        "passage": PieceHash(buf)(at, at + PIECE).view(np.int64), "run": run[owner], "core": core[owner], "piece": piece[owner],
         "place": pa.array(place, pa.int32()), "th": th[owner], "at": pa.array(start[owner] + place, pa.int32()), "copies": copies[owner],
     })
 
@@ -236,16 +246,17 @@ def repeated_spans(candidates: DataFrame) -> DataFrame:
 
     Around the anchors, starts are put into pieces at fixed distances. A passage can only repeat if its piece's core
     does, and equal pieces repeat as a whole. Different pieces with one core are sorted into suffix arrays, shard by
-    shard. A core with very many different pieces goes to several shards, whose sorted runs are merged by binary search.
+    shard, with one byte for the core: all places of a passage have the same anchors, and so the same cores at the same
+    places. A core with very many different pieces goes to several shards, whose sorted runs are merged by binary search.
     """
     refs = stored(candidates.mapInArrow(_piece_rows, REF), "dedup-pieces")
     pieces = stored(refs.groupBy("core", "piece").agg(F.count(F.lit(1)).alias("copies"), F.min("th").alias("th")), "dedup-distinct")
     shared = pieces.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("copies") == 1).alias("single")).filter("kinds > 1 and single > 0")
     unsure = pieces.join(shared.hint("merge"), "core").select("core", "piece", "kinds", "copies", "th")
     # one place of each: the first one in its text
-    at = refs.join(unsure.hint("merge"), ["core", "piece", "th"]).groupBy("core", "piece", "th", "kinds", "copies").agg(F.min("start").alias("start"), F.max("n").alias("n"))
+    at = refs.join(unsure.hint("merge"), ["core", "piece", "th"]).groupBy("core", "piece", "th", "kinds", "copies").agg(F.min("start").alias("start"), F.max("n").alias("n"), F.max("before").alias("before"))
     unsure = stored(at, "dedup-unsure")
-    wanted = unsure.groupBy("th").agg(F.collect_list(F.struct("core", "piece", "start", "n", "kinds", "copies")).alias("refs"))
+    wanted = unsure.groupBy("th").agg(F.collect_list(F.struct("core", "piece", "start", "n", "before", "kinds", "copies")).alias("refs"))
     data = stored(candidates.select("th", "t").join(wanted.hint("merge"), "th").select("th", "t", "refs").mapInArrow(_piece_bytes, BYTES), "dedup-bytes")
     shards = max(1, math.ceil(unsure.count() / SHARD_PIECES))
     few = data.filter(F.col("kinds") <= SPREAD).withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(shards))).groupBy("shard").applyInArrow(_shard, "core long, piece long, lo int, hi int")

@@ -92,7 +92,10 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         rank[members] = slots[np.maximum.accumulate(np.where(changed, np.arange(len(slots)), 0))] + 1
         rank[:n][ends] = 0
         h *= 2
-    return np.argsort(rank[:n].astype(np.int64) * (n + 1) + places).astype(np.int32)
+    slots = np.flatnonzero(~(head & np.append(head[1:], True)))
+    members = order[slots]
+    order[slots] = members[np.argsort(rank[members].astype(np.int64) * (n + 1) + members)]
+    return order
 
 
 def kasai(symbols: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
