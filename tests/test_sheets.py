@@ -40,3 +40,8 @@ def rows_and_sql_rows_of_repeated_runs(spark, folder, name):
 def test_blocks_of_repeated_runs(spark, tmp_path):
     got, want = rows_and_sql_rows_of_repeated_runs(spark, str(tmp_path), "sheet_blocks")
     assert got == want
+
+
+def test_lines_of_repeated_runs(spark, tmp_path):
+    got, want = rows_and_sql_rows_of_repeated_runs(spark, str(tmp_path), "sheet_lines")
+    assert got == want
